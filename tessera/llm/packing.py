@@ -21,9 +21,13 @@ CAPACITY, STEP = 2048, 4
 #: The id that ends each document.
 END_ID = 1
 
-#: The program stops once the bound shows that no packing by whole or part patterns saves more than this share.
+#: The program stops once the bound shows that no packing by whole or part patterns saves more than this share, or than one
+#: sequence.
 TOLERANCE = 0.0005
 
+#: Patterns that enter the program from one pricing, at most.
+PATTERNS = 24
+
 ROWS_PER_TASK = 16_384
 
 #: Words whose ids a task remembers.
@@ -103,59 +107,68 @@ def _pieces(path: str, capacity: int):  # noqa: ANN202
     return run
 
 
-def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The pattern of the largest value that fits (each size any number of times), by dynamic programming."""
+def price(values: np.ndarray, sizes: np.ndarray, capacity: int, many: int = PATTERNS) -> tuple[float, list[np.ndarray]]:
+    """The largest value of a pattern that fits (each size any number of times), by dynamic programming over the room, and
+    the best patterns, first the best, each led by another size."""
     best = np.zeros(capacity + 1)
     last = np.full(capacity + 1, -1)
     by_size = np.argsort(sizes, kind="stable")
     sorted_sizes, sorted_values = sizes[by_size], values[by_size]
+    fits = np.searchsorted(sorted_sizes, np.arange(capacity + 1), "right").tolist()
     for room in range(1, capacity + 1):
         best[room] = best[room - 1]
-        fits = np.searchsorted(sorted_sizes, room, "right")
-        if fits:
-            gain = sorted_values[:fits] + best[room - sorted_sizes[:fits]]
-            k = int(gain.argmax())
+        if n := fits[room]:
+            gain = sorted_values[:n] + best[room - sorted_sizes[:n]]
+            k = gain.argmax()
             if gain[k] > best[room] + 1e-12:
                 best[room], last[room] = gain[k], by_size[k]
-    pattern = np.zeros(len(sizes), np.int64)
-    room = capacity
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
-        else:
-            pattern[last[room]] += 1
-            room -= int(sizes[last[room]])
-    return float(best[capacity]), pattern
+    led = values + best[capacity - sizes]
+    patterns = []
+    for k in np.argsort(-led, kind="stable")[:many]:
+        pattern = np.zeros(len(sizes), np.int64)
+        pattern[k] = 1
+        room = capacity - int(sizes[k])
+        while room > 0:
+            if last[room] < 0:
+                room -= 1
+            else:
+                pattern[last[room]] += 1
+                room -= int(sizes[last[room]])
+        patterns.append(pattern)
+    return float(best[capacity]), patterns
 
 
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float = TOLERANCE) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often each is used, a solution of the linear program that covers the demand with the fewest
-    sequences, to within the tolerance of its bound. The revised simplex method starts from one-size patterns."""
+    sequences, to within the tolerance of its bound. The revised simplex method starts from one-size patterns; patterns
+    priced together enter one by one, as long as the prices that the earlier ones leave still favour them."""
     many = len(sizes)
     patterns = [np.eye(many, dtype=np.int64)[k] * (capacity // sizes[k]) for k in range(many)]
-    inverse = np.diag(1.0 / np.array([p.max() for p in patterns]))
+    inverse = np.diag(1.0 / np.array([p.max() for p in patterns])) if many else np.zeros((0, 0))
     use = inverse @ demand.astype(float)
-    bound = 0.0
+    bound = float((sizes * demand).sum()) / capacity
     for _ in range(40 * many + 200):
-        prices = inverse.sum(axis=0)
-        best, pattern = price(prices, sizes, capacity)
+        best, priced = price(inverse.sum(axis=0), sizes, capacity)
         total = use.sum()
-        bound = max(bound, total / best) if best > 0 else total
-        if best <= 1 + 1e-9 or total <= bound * (1 + tolerance):
+        bound = max(bound, total / best if best > 0 else total)
+        if best <= 1 + 1e-9 or total <= bound + max(1.0, bound * tolerance):
             break
-        step = inverse @ pattern
-        grows = step > 1e-11
-        ratio = np.full(many, np.inf)
-        ratio[grows] = use[grows] / step[grows]
-        out = int(ratio.argmin())
-        amount = ratio[out]
-        use -= amount * step
-        use[out] = amount
-        np.maximum(use, 0.0, out=use)
-        row = inverse[out] / step[out]
-        inverse -= np.outer(step, row)
-        inverse[out] = row
-        patterns[out] = pattern
+        for pattern in priced:
+            if inverse.sum(axis=0) @ pattern <= 1 + 1e-9:
+                continue
+            step = inverse @ pattern
+            ratio = np.full(many, np.inf)
+            grows = step > 1e-11
+            ratio[grows] = use[grows] / step[grows]
+            out = int(ratio.argmin())
+            amount = ratio[out]
+            use -= amount * step
+            use[out] = amount
+            np.maximum(use, 0.0, out=use)
+            row = inverse[out] / step[out]
+            inverse -= np.outer(step, row)
+            inverse[out] = row
+            patterns[out] = pattern
     return [(p, float(x)) for p, x in zip(patterns, use, strict=True) if x > 0]
 
 
