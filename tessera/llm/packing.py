@@ -21,9 +21,9 @@ CAPACITY, STEP = 2048, 4
 #: The id that ends each document.
 END_ID = 1
 
-#: The program stops once the bound shows that no packing by whole or part patterns saves more than this share, or than one
-#: sequence.
-TOLERANCE = 0.0005
+#: The program stops once its bound shows that no packing saves more than this share (or than half a sequence), or after so
+#: many pricings; what it lacks then costs sequences, never documents.
+TOLERANCE, PRICINGS = 1e-5, 400
 
 #: Patterns that enter the program from one pricing, at most.
 PATTERNS = 24
@@ -138,22 +138,41 @@ def price(values: np.ndarray, sizes: np.ndarray, capacity: int, many: int = PATT
     return float(best[capacity]), patterns
 
 
+def first_fit(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns that hold exactly the demand: each takes the largest that fits, as often as the rest of the demand allows."""
+    left = demand.copy()
+    falling = np.argsort(-sizes, kind="stable")
+    out = []
+    while left.any():
+        pattern = np.zeros(len(sizes), np.int64)
+        room = capacity
+        for k in falling[left[falling] > 0]:
+            if sizes[k] <= room:
+                pattern[k] = min(left[k], room // sizes[k])
+                room -= int(pattern[k] * sizes[k])
+        held = pattern > 0
+        times = int((left[held] // pattern[held]).min())
+        out.append((pattern, times))
+        left -= times * pattern
+    return out
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float = TOLERANCE) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often each is used, a solution of the linear program that covers the demand with the fewest
-    sequences, to within the tolerance of its bound. The revised simplex method starts from one-size patterns; patterns
-    priced together enter one by one, as long as the prices that the earlier ones leave still favour them."""
+    sequences, to within the tolerance of its bound.
+
+    The revised simplex method starts from one-size patterns, to which those of first fit are offered, then patterns that
+    the knapsack prices. Patterns priced together enter one by one, as long as the prices that the earlier ones leave
+    still favour them.
+    """
     many = len(sizes)
     patterns = [np.eye(many, dtype=np.int64)[k] * (capacity // sizes[k]) for k in range(many)]
     inverse = np.diag(1.0 / np.array([p.max() for p in patterns])) if many else np.zeros((0, 0))
     use = inverse @ demand.astype(float)
-    bound = float((sizes * demand).sum()) / capacity
-    for _ in range(40 * many + 200):
-        best, priced = price(inverse.sum(axis=0), sizes, capacity)
-        total = use.sum()
-        bound = max(bound, total / best if best > 0 else total)
-        if best <= 1 + 1e-9 or total <= bound + max(1.0, bound * tolerance):
-            break
-        for pattern in priced:
+
+    def enter(offered: list[np.ndarray]) -> bool:
+        entered = False
+        for pattern in offered:
             if inverse.sum(axis=0) @ pattern <= 1 + 1e-9:
                 continue
             step = inverse @ pattern
@@ -162,39 +181,50 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, tole
             ratio[grows] = use[grows] / step[grows]
             out = int(ratio.argmin())
             amount = ratio[out]
-            use -= amount * step
+            use[:] = np.maximum(use - amount * step, 0.0)
             use[out] = amount
-            np.maximum(use, 0.0, out=use)
             row = inverse[out] / step[out]
-            inverse -= np.outer(step, row)
+            inverse[:] = inverse - np.outer(step, row)
             inverse[out] = row
             patterns[out] = pattern
+            entered = True
+        return entered
+
+    center = sizes / capacity  # feasible prices, whose total is a bound: no pattern is worth more than one sequence
+    bound = float(center @ demand)
+    known = [p for p, _ in first_fit(sizes, demand, capacity)]
+    for _ in range(6):
+        if not enter(known):
+            break
+    for _ in range(PRICINGS):
+        now = inverse.sum(axis=0)
+        if use.sum() <= bound + max(0.5, bound * tolerance):
+            break
+        smooth = 0.9 * center + 0.1 * now  # the simplex prices alone swing widely
+        best, priced = price(smooth, sizes, capacity)
+        if not any(now @ p > 1 + 1e-9 for p in priced):
+            smooth = now
+            best, priced = price(smooth, sizes, capacity)
+            if best <= 1 + 1e-9:
+                break
+        if smooth.min() >= 0 and smooth @ demand / best > bound:
+            center, bound = smooth / best, float(smooth @ demand / best)
+        enter(priced)
     return [(p, float(x)) for p, x in zip(patterns, use, strict=True) if x > 0]
 
 
 def whole_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """Patterns used whole numbers of times that hold exactly the demand: the program's, rounded down, then the rest by
-    first fit in falling size."""
+    first fit."""
     left = demand.copy()
     out: list[tuple[np.ndarray, int]] = []
     for pattern, use in sorted(column_generation(sizes, demand, capacity), key=lambda x: -x[1]):
         held = pattern > 0
-        times = min(int(use + 1e-6), int((left[held] // pattern[held]).min()) if held.any() else 0)
+        times = min(int(use + 1e-6), int((left[held] // pattern[held]).min()))
         if times > 0:
             out.append((pattern, times))
             left -= times * pattern
-    while left.any():  # one sequence at a time; the same one as often as the rest allows
-        pattern = np.zeros(len(sizes), np.int64)
-        room = capacity
-        for k in np.argsort(-sizes, kind="stable"):
-            if left[k] and sizes[k] <= room:
-                pattern[k] = min(left[k], room // sizes[k])
-                room -= pattern[k] * sizes[k]
-        held = pattern > 0
-        times = int((left[held] // pattern[held]).min())
-        out.append((pattern, times))
-        left -= times * pattern
-    return out
+    return out + first_fit(sizes, left, capacity)
 
 
 def pack(
