@@ -19,7 +19,7 @@ BLOCK_ROWS = 64
 PERIOD = 1000
 
 #: Without target weights, a source weighs as its rows to this power: small sources are repeated, no row is left out.
-SMOOTHING = 0.7
+SMOOTHING = 0.85
 
 ROWS_PER_TASK = 16_384
 
@@ -123,13 +123,11 @@ def mix(
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, mixed to weights that grow as a source's rows to the power 0.7."""
+    """All documents, mixed to weights that grow as a source's rows to the power 0.85."""
     rows = table(spark, sf_dir, "documents", "doc_id", "source")
     return mix(rows, "source", ["doc_id"])
 
 
-def in_mixed_order(mixed: DataFrame, rows_per_file: int = 100_000) -> DataFrame:
-    """The mixed rows sorted by position over as many partitions as needed."""
-    last = mixed.agg(F.max("position")).first()[0]
-    parts = max(1, ceil(((last or 0) + 1) / rows_per_file))
-    return mixed.repartitionByRange(parts, "position").sortWithinPartitions("position")
+def in_mixed_order(mixed: DataFrame) -> DataFrame:
+    """The mixed rows dealt to partitions by ranges of their position, and sorted in each."""
+    return mixed.repartitionByRange("position").sortWithinPartitions("position")
