@@ -216,7 +216,8 @@ def masked(frame: DataFrame, id_column: str, text_column: str, found: DataFrame,
     some = scratch.keep(some.dropDuplicates(["__id", "__print"]))
     match = frame[id_column].eqNullSafe(F.col("__id")) & (F.xxhash64(frame[text_column]) == F.col("__print"))
     joined = frame.join(scratch.small(some), match, "left").drop("__id", "__print")
-    at = frame.columns.index(text_column)
+    names = list(frame.columns)
+    at = names.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +237,7 @@ def masked(frame: DataFrame, id_column: str, text_column: str, found: DataFrame,
                     new.append(text)
                 texts = pa.array(new, pa.string())
             columns = [texts if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=frame.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in frame.schema])
     return joined.mapInArrow(run, schema)
