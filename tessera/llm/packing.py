@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from math import ceil
+from struct import pack as pack_ids
 from zlib import crc32
 
 import numpy as np
@@ -30,18 +32,41 @@ PATTERNS = 24
 
 ROWS_PER_TASK = 16_384
 
-#: Words whose ids a task remembers.
-REMEMBERED = 300_000
+#: Pieces of text whose ids a task remembers.
+REMEMBERED = 400_000
 
-#: White space to str.split() but not to the tokenizer, and what begins a special token: such texts are encoded whole.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: Texts of these characters alone are split into the tokenizer's pieces here; lower case and normal form keep to them. Left
+#: out are what the tokenizer does not count as white space but ``re`` does, and what begins a special token.
+_UNUSUAL = re.compile("[^\x00-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]|[\x1c-\x1f\u0130]|<\\|")
+
+#: The tokenizer's pieces (contractions, runs of letters, single numbers, runs of anything else).
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+
+#: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on, in order.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = dict(zip((b for b in range(256) if b not in _PRINTABLE), range(256, 512), strict=False))
+
+
+class _Known(dict):
+    """Ids of pieces, as bytes, found by the tokenizer's model when first asked for."""
+
+    def __init__(self, model) -> None:  # noqa: ANN001
+        self.model = model
+
+    def __missing__(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTES)
+        found = [t.id for t in self.model.tokenize(letters)]
+        self[piece] = ids = pack_ids(f"<{len(found)}I", *found)
+        return ids
 
 
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer splits at white space before anything else that looks at neighbours, so the ids of a text are those of
-    its words one after another. Words are encoded once and remembered, up to a bound.
+    The tokenizer works on pieces that have no influence on each other, so the ids of a text are those of its pieces one
+    after another. The ids of pieces are remembered, up to a bound. A text with unusual characters goes to the tokenizer
+    whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,32 +74,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        lengths = np.array([len(w) + 1 for w in words])
-        starts = np.cumsum(lengths) - lengths
-        done = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(done.ids, "<u4")
-        at = np.array([o[0] for o in done.offsets], np.int64)
-        edges = np.searchsorted(np.searchsorted(starts, at, "right") - 1, np.arange(len(words) + 1))
-        for w, a, b in zip(words, edges[:-1], edges[1:], strict=True):
-            self.known[w] = ids[a:b].tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text."""
-        words = [None if any(x in t for x in _ODD) else t.split() for t in texts]
+        self.known = _Known(self.tokenizer.model)
+
+    def encode(self, text: str) -> bytes:
+        if _UNUSUAL.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*(w for w in words if w)) - self.known.keys())
-        for i in range(0, len(new), 20_000):
-            self._learn(new[i : i + 20_000])
-        find = self.known.__getitem__
-        for text, own in zip(texts, words, strict=True):
-            yield self.whole(text) if own is None else b"".join(map(find, own))
+        return b"".join(map(self.known.__getitem__, _PIECE.findall(text.lower())))
 
 
 def _pieces(path: str, capacity: int):  # noqa: ANN202
@@ -87,9 +94,10 @@ def _pieces(path: str, capacity: int):  # noqa: ANN202
         for batch in batches:
             row = 0
             while row < batch.num_rows:
-                texts = [x or "" for x in batch.column(1).slice(row, 256).to_pylist()]
                 at, out = [], [[], [], [], []]
-                for k, ids in enumerate(encoder.encode(texts)):
+                texts = batch.column(1).slice(row, 1024)
+                for k, text in enumerate(texts):
+                    ids = encoder.encode(text.as_py() or "")
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, capacity):
