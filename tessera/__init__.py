@@ -1,0 +1 @@
+"""Declarative, typed data pipelines on Spark DataFrames."""
