@@ -96,7 +96,7 @@ class PipelineBuilder:
                 raise PipelineError(f"{name}: inputs not mapped: {', '.join(missing)}")
             if not any_name and (unknown := [n for n in read if n not in names]):
                 raise PipelineError(f"{name}: no such inputs: {', '.join(unknown)}")
-        elif len(needed) > 1 or not (names or any_name):
+        elif len(needed) > 1 or not (names or any_name):  # further parameters have defaults
             raise PipelineError(f"{name}: takes {len(needed)} inputs, one given")
         if isinstance(node, PassThrough) and "" in read and "" in written:
             a, b = getattr(read[""], "schema", None), written[""].schema
