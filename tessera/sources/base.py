@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from tessera.schema import Schema, schema_of
 from tessera.sources import files
 from tessera.validation import ErrorType, Level, ValidationResult
 
+#: What a failed Spark job raises.
+SPARK_ERRORS = (PySparkException, Py4JError)
+
 #: Rows that a shallow inspection reads.
 SAMPLE = 10
 

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def _at(spark: SparkSession, path: str):  # noqa: ANN202
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getClass().getSimpleName() in ("LocalFileSystem", "ProxyLocalFileSystem"):
+        system = system.getRaw()  # without checksum files, which would go stale when others write the file
+    return system, where
 
 
 def exists(spark: SparkSession, path: str) -> bool:

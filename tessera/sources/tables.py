@@ -12,13 +12,12 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.schema import Schema, schema_of
 from tessera.sources import files
-from tessera.sources.base import SAMPLE, Dataset, ReadOnlyDataset
+from tessera.sources.base import SAMPLE, SPARK_ERRORS, Dataset, ReadOnlyDataset
 from tessera.validation import ErrorType, ValidationResult
 
 
@@ -44,7 +43,7 @@ class ParquetDataset(Dataset):
             return self.fail(ErrorType.INVALID_FORMAT, "the file does not begin as Parquet does")
         try:
             there = {f.name: f.dataType.simpleString() for f in spark.read.parquet(self.path).schema}
-        except PySparkException as e:
+        except SPARK_ERRORS as e:
             return ValidationResult.from_exception(self.key, e, ErrorType.INVALID_FORMAT)
         missing = [c.name for c in self.schema.columns if c.name not in there]
         if missing:
@@ -80,9 +79,7 @@ class CsvDataset(Dataset):
         super().__init__(key, schema, path)
         self.schema.require_flat("CSV")
         self.options = {"header": "true", **(options or {})}
-        if keep_empty:
-            self.options |= {"nullValue": "\u0000", "emptyValue": ""}
-        self.one_file = one_file
+        self.keep_empty, self.one_file = keep_empty, one_file
 
     def raw(self, spark: SparkSession) -> DataFrame:
         return spark.read.options(**self.options).csv(self.path)
@@ -94,7 +91,10 @@ class CsvDataset(Dataset):
         missing = [c.source_name for c in self.schema.columns if c.source_name.lower() not in by_name]
         if missing:
             raise KeyError(f"missing columns: {', '.join(missing)}")
-        return rows.select(*(rows[f"`{by_name[c.source_name.lower()]}`"].alias(c.name) for c in self.schema.columns))
+        found = {c.name: rows[f"`{by_name[c.source_name.lower()]}`"] for c in self.schema.columns}
+        if self.keep_empty:
+            found |= {c.name: F.coalesce(found[c.name], F.lit("")) for c in self.schema.columns if c.type.simpleString() == "string"}
+        return rows.select(*(v.alias(k) for k, v in found.items()))
 
     def load(self, spark: SparkSession) -> DataFrame:
         if not self.exists(spark):
@@ -116,7 +116,7 @@ class CsvDataset(Dataset):
             return self.fail(ErrorType.SCHEMA_MISMATCH, e.args[0])
         try:
             return self.misfits(texts, limit) or ValidationResult.success()
-        except PySparkException as e:
+        except SPARK_ERRORS as e:
             return ValidationResult.from_exception(self.key, e, ErrorType.INVALID_FORMAT if limit else ErrorType.DESERIALIZATION_ERROR)
 
     def inspect_shallow(self, spark: SparkSession, sample: int = SAMPLE) -> ValidationResult:
@@ -191,7 +191,7 @@ class JsonDataset(Dataset):
         try:
             if not self.load(spark).limit(sample).collect():
                 return self.fail(ErrorType.EMPTY_DATASET, "there are no rows")
-        except PySparkException as e:
+        except SPARK_ERRORS as e:
             return ValidationResult.from_exception(self.key, e, ErrorType.INVALID_FORMAT)
         return ValidationResult.success()
 
@@ -200,7 +200,7 @@ class JsonDataset(Dataset):
         if found.is_valid:
             try:
                 self.load(spark).write.format("noop").mode("overwrite").save()
-            except PySparkException as e:
+            except SPARK_ERRORS as e:
                 return ValidationResult.from_exception(self.key, e, ErrorType.DESERIALIZATION_ERROR)
         return found
 
@@ -307,7 +307,7 @@ class ExcelDataset(ReadOnlyDataset):
             return self.fail(ErrorType.INVALID_FORMAT, "not a workbook")
         try:
             return self.misfits(self.texts(spark), limit) or ValidationResult.success()
-        except PySparkException as e:
+        except SPARK_ERRORS as e:
             for mark, kind in (("there is no sheet", ErrorType.NOT_FOUND), ("missing columns", ErrorType.SCHEMA_MISMATCH), ("not a workbook", ErrorType.INVALID_FORMAT)):
                 if found := re.search(f"{mark}[^'\"\n]*", str(e)):
                     return self.fail(kind, found[0])
