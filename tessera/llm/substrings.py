@@ -21,10 +21,13 @@ WINDOW = 35
 COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
 #: Bytes of text that one group of documents, and one group of hashes, stands for, about.
-TEXT_PER_GROUP, TEXT_PER_HASHES = 8 << 20, 24 << 20
+TEXT_PER_GROUP, TEXT_PER_HASHES = 8 << 20, 12 << 20
 
 #: Hashes that a task gathers before it looks for repeats among them and sends them on.
-HELD = 1 << 20
+HELD = 1 << 19
+
+#: Bytes of hashes that a task sends on at once, about.
+SENT_BYTES = 1 << 20
 
 _SENT = "bucket int, h1 binary, h2 binary, known binary, key binary, doc binary, pos binary"
 _PLACES = "bucket int, key binary, doc binary, pos binary"
@@ -82,20 +85,28 @@ class _Sender:
         known = np.zeros(len(h1), np.uint8)
         known[order[size > 1]] = 1
         to = (h1[first] % np.uint64(self.hash_groups)).astype(np.int64)
-        first = first[np.argsort(to, kind="stable")]
-        edges = np.searchsorted(np.sort(to), np.arange(self.hash_groups + 1))
-        for b in range(self.hash_groups):
-            at = first[edges[b] : edges[b + 1]]
-            if len(at):
-                place = at[known[at] == 0]
-                rows.append((
-                    b, h1[at].tobytes(), h2[at].tobytes() if len(h2) else b"", known[at].tobytes(),
-                    *(_taken(x, place).tobytes() for x in (key, doc, pos)),
-                ))
-        names = ["bucket", "h1", "h2", "known", "key", "doc", "pos"]
-        kinds = [pa.int32(), *[pa.binary()] * 6]
-        for row in rows:  # one row a batch: rows are large
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
+        by_group = np.argsort(to, kind="stable")
+        first, to = first[by_group], to[by_group]
+        groups, edges = np.unique(to, return_index=True)
+        sent = 0
+        for b, at in zip(groups.tolist(), np.split(first, edges[1:]), strict=True):
+            place = at[known[at] == 0]
+            rows.append((
+                b, h1[at].tobytes(), h2[at].tobytes() if len(h2) else b"", known[at].tobytes(),
+                *(_taken(x, place).tobytes() for x in (key, doc, pos)),
+            ))
+            sent += len(rows[-1][1])
+            if sent >= SENT_BYTES:
+                yield _sent_batch(rows)
+                rows, sent = [], 0
+        if rows:
+            yield _sent_batch(rows)
+
+
+def _sent_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["bucket", "h1", "h2", "known", "key", "doc", "pos"]
+    kinds = [pa.int32(), *[pa.binary()] * 6]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
