@@ -24,7 +24,7 @@ COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0
 TEXT_PER_GROUP, TEXT_PER_HASHES = 8 << 20, 12 << 20
 
 #: Hashes that a task gathers before it looks for repeats among them and sends them on.
-HELD = 1 << 19
+HELD = 1 << 20
 
 #: Bytes of hashes that a task sends on at once, about.
 SENT_BYTES = 1 << 20
@@ -131,7 +131,7 @@ def _repeated(sent: DataFrame, text_groups: int) -> DataFrame:
     """The places whose hash occurs at two places or more, one row for each group of documents and bucket of hashes."""
 
     def decide(rows: pa.Table) -> pa.Table:
-        h1, h2 = _joined(rows["h1"], np.uint64), _joined(rows["h2"], np.uint64)
+        h1, h2 = _joined(rows["h1"], np.uint64), _joined(rows["h2"], np.uint32)
         known = _joined(rows["known"], np.uint8)
         place = np.full(len(h1), -1)
         again: list[np.ndarray] = []
@@ -187,7 +187,7 @@ def without_repeats(frame: DataFrame, id_column: str, text_column: str, window:
 
     Anchors of window - period + 1 words are hashed at cover positions only; two occurrences of a window share an anchor
     at the same place of the window. Anchors that occur twice extend to the windows around them, and those windows are
-    compared by 128-bit hashes of their words. No pairs of documents are made: the work is linear in the words.
+    compared by 96-bit hashes of their words. No pairs of documents are made: the work is linear in the words.
 
     A null text has no words. A null id is an id like any other; equal rows count as documents of their own, so all
     their windows are repeated. An empty table gives an empty result. Other columns are not carried.
@@ -218,8 +218,8 @@ def without_repeats(frame: DataFrame, id_column: str, text_column: str, window:
                 doc, place = doc[chosen], place[chosen]
                 if len(doc):
                     h = FIRST.runs(block.hashes(FIRST, False), anchor)[block.bounds[doc] + place]
-                    none = np.empty(0, np.uint64)
-                    yield from sender.add(h, none, keys[block.first + doc], none.view(np.int64), place.astype(np.int32))
+                    none = np.empty(0, np.uint32)
+                    yield from sender.add(h, none, keys[block.first + doc], none.astype(np.int64), place.astype(np.int32))
         yield from sender.send()
 
     def windows(texts: pa.Table, places: pa.Table) -> pa.Table:
@@ -242,7 +242,7 @@ def without_repeats(frame: DataFrame, id_column: str, text_column: str, window:
                 doc = np.searchsorted(block.bounds, candidate, "right") - 1
                 h1, h2 = (f.runs(block.hashes(f, False), window)[candidate] for f in (FIRST, SECOND))
                 place = (candidate - block.bounds[doc]).astype(np.int32)
-                out += sender.add(h1, h2, keys[block.first + doc], ids[block.first + doc], place)
+                out += sender.add(h1, (h2 >> np.uint64(32)).astype(np.uint32), keys[block.first + doc], ids[block.first + doc], place)
             out += sender.send()
         return pa.Table.from_batches(out) if out else _EMPTY
 
