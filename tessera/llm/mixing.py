@@ -21,7 +21,7 @@ PERIOD = 1000
 #: Without target weights, a source weighs as its rows to this power: small sources are repeated, no row is left out.
 SMOOTHING = 0.85
 
-ROWS_PER_TASK = 16_384
+ROWS_PER_TASK = 2048
 
 
 def whole_parts(weights: Mapping[str, float], period: int) -> dict[str, int]:
