@@ -19,7 +19,7 @@ LOW = 1 << 33
 STEPS = 48
 
 #: Rows that one numbering task gets, about.
-ROWS_PER_BLOCK = 16_384
+ROWS_PER_BLOCK = 2048
 
 
 def _wide(value: int) -> Column:
