@@ -349,3 +349,24 @@ def near_duplicates(
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents that share at least 85 hundredths of their shingles."""
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", percent=85, matches=36)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), words AS (SELECT doc_id, len(ws) AS all_words, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM texts),
+runs AS (
+  SELECT doc_id, all_words, i, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM words
+), shingles AS (SELECT DISTINCT doc_id, s FROM runs WHERE i <= greatest(all_words - 5, 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM common c JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c.n >= 85 * (a.n + b.n - c.n)
+), reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT t.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(t.doc_id, coalesce(y, t.doc_id)) AS component_id,
+  t.doc_id = least(t.doc_id, coalesce(y, t.doc_id)) AS kept
+FROM texts t LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l ON l.x = t.doc_id
+"""

@@ -288,3 +288,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(rows, "doc_id", "text").select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+OP10_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM texts),
+runs AS (
+  SELECT r, i, string_agg(w, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS s,
+    count(*) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS n FROM words
+), again AS (SELECT s FROM runs WHERE n = 35 GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + j AS i FROM runs JOIN again USING (s), range(35) t(j) WHERE n = 35),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS k, count(*) AS n FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+"""

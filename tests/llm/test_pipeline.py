@@ -1,9 +1,11 @@
 """The corpus pipeline, stage by stage and whole."""
 
 import corpus_pipeline
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import queries as llm_queries
 from tessera.llm.common import Scratch
 from tessera.llm.packing import Encoder, tokenizer_path
 
@@ -68,3 +70,16 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = scratch.keep(stage(spark, docs, SF))
     assert docs.count() == 0
+
+
+@pytest.mark.parametrize("name", list(llm_queries.ORACLE_SQL))
+def test_query_against_sql(spark, name):
+    got = llm_queries.QUERIES[name](spark, SF).toPandas()
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    want = con.execute(llm_queries.ORACLE_SQL[name]).fetchdf()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    both = [sorted(map(tuple, f[columns].astype(object).to_numpy().tolist())) for f in (got, want)]
+    assert both[0] == both[1]
