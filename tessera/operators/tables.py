@@ -149,3 +149,38 @@ def min_max_scaled(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
         span = None if low is None else float(high) - float(low)
         scaled[f"{c}_scaled"] = (F.col(c).cast("double") - F.lit(float(low))) / F.lit(span) if span else F.when(F.col(c).isNotNull(), 0.0)
     return frame.withColumns(scaled)
+
+
+def _key(order: Sequence[str]) -> Column:
+    return F.struct(*(F.col(c) for c in order))
+
+
+def take_while(frame: DataFrame, keep: Column, order: Sequence[str]) -> DataFrame:
+    """The rows, in the total order of some columns, before the first that fails the predicate (null fails). The first
+    failure is one aggregate; no task sorts all rows."""
+    first = frame.where(~F.coalesce(keep, F.lit(False))).agg(F.min(_key(order)).alias("k")).first()["k"]
+    return frame if first is None else frame.where(_key(order) < F.struct(*(F.lit(first[c]).cast(frame.schema[c].dataType) for c in order)))
+
+
+def skip_while(frame: DataFrame, skip: Column, order: Sequence[str]) -> DataFrame:
+    """The rows from the first, in the total order of some columns, that fails the predicate (null fails)."""
+    first = frame.where(~F.coalesce(skip, F.lit(False))).agg(F.min(_key(order)).alias("k")).first()["k"]
+    if first is None:
+        return frame.limit(0)
+    return frame.where(_key(order) >= F.struct(*(F.lit(first[c]).cast(frame.schema[c].dataType) for c in order)))
+
+
+def lookup(frame: DataFrame, key: str, value: str, out: str = "values") -> DataFrame:
+    """For each key the sorted values. A key's values must fit one row."""
+    return frame.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias(out))
+
+
+def any_all(frame: DataFrame, predicate: Column) -> DataFrame:
+    """One row: whether any row, and whether every row, meets the predicate (null does not); of no rows false and true."""
+    met = F.coalesce(predicate, F.lit(False))
+    return frame.agg(F.coalesce(F.bool_or(met), F.lit(False)).alias("any"), F.coalesce(F.bool_and(met), F.lit(True)).alias("all"))
+
+
+def extremes_by(frame: DataFrame, key: str, value: str, by: Sequence[str]) -> DataFrame:
+    """For each key the value of the row that is first, and of that which is last, by a total order of some columns."""
+    return frame.groupBy(key).agg(F.min_by(value, _key(by)).alias("least"), F.max_by(value, _key(by)).alias("largest"))

@@ -367,6 +367,50 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("n_regionkey", "chunk").agg(names.alias("names"))
 
 
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < (SELECT min(o_orderkey) FROM orders WHERE o_totalprice >= 498000)")
+def take_while(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return tables.take_while(orders, F.col("o_totalprice") < 498000, ["o_orderkey"]).drop("o_totalprice")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey >= (SELECT min(o_orderkey) FROM orders WHERE o_totalprice >= 498000)")
+def skip_while(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return tables.skip_while(orders, F.col("o_totalprice") < 498000, ["o_orderkey"]).drop("o_totalprice")
+
+
+@query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tables.lookup(table(spark, sf_dir, "nation"), "n_regionkey", "n_name", "names")
+    return found.select("n_regionkey", F.array_join("names", ",").alias("names"))
+
+
+@query("SELECT bool_or(l_quantity > 49) AS any_large, bool_and(l_quantity > 0) AS all_positive FROM lineitem")
+def any_and_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.agg(F.bool_or(F.col("l_quantity") > 49).alias("any_large"), F.bool_and(F.col("l_quantity") > 0).alias("all_positive"))
+
+
+@query("""
+SELECT o_custkey, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS least, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS largest
+FROM orders GROUP BY o_custkey
+""")
+def min_by_max_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.extremes_by(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", ["o_totalprice", "o_orderkey"])
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
+    return a.distinct().union(b.distinct()).distinct()
+
+
+@query("SELECT 'customer' AS kind, c_name AS name FROM customer UNION ALL SELECT 'supplier', s_name FROM supplier")
+def concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").select(F.lit("customer").alias("kind"), F.col("c_name").alias("name"))
+    return a.unionByName(table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_name").alias("name")))
+
+
 # --- models -----------------------------------------------------------------------------------------------------------
 
 

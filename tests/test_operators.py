@@ -85,3 +85,12 @@ def test_charts(spark):
     for chart in (bars, grid, curve):
         assert reporting.chart_png(chart).startswith(b"\x89PNG\r\n\x1a\n") and reporting.chart_json(chart)
     assert reporting.decode_data_uri("data:image/png;base64,YWI=") == b"ab"
+
+
+def test_while_and_any_of_odd_rows(spark):
+    rows = spark.createDataFrame([(1, 5), (2, None), (3, 7)], "k int, v int")
+    assert [r["k"] for r in tables.take_while(rows, F.col("v") < 9, ["k"]).collect()] == [1]
+    assert sorted(r["k"] for r in tables.skip_while(rows, F.col("v") < 9, ["k"]).collect()) == [2, 3]
+    assert tables.take_while(rows, F.col("k") < 9, ["k"]).count() == 3 and tables.skip_while(rows, F.col("k") < 9, ["k"]).count() == 0
+    assert tuple(tables.any_all(rows, F.col("v") > 4).first()) == (True, False) and tuple(tables.any_all(rows.limit(0), F.col("v") > 4).first()) == (False, True)
+    assert tuple(tables.extremes_by(rows.withColumn("g", F.lit(1)), "g", "k", ["v", "k"]).first()) == (1, 2, 3)
