@@ -286,7 +286,7 @@ def near_duplicates(
     groups of any size are compared in pairs of bounded blocks, and only stars that span components leave a task: all
     links count, but no list of all pairs is made.
 
-    A null or empty text has an empty set and no link. Rows with one id and one text share a group; a null id is larger
+    Ids are whole numbers. A null or empty text has an empty set and no link. Rows with one id and one text share a group; a null id is larger
     than any other, and a group of null ids alone has a null component_id and is kept. An empty table gives an empty
     result. Other columns are not carried.
     """
@@ -318,6 +318,8 @@ def near_duplicates(
     merged = merged.withColumns({"blocks": blocks_, "block": F.pmod(F.xxhash64("node"), blocks_).cast("int")})
     met = _in_block_pairs(merged, "post", "blocks", ["node", "sig"]).mapInArrow(_lists(matches), "a long, b long")
     groups = scratch.keep(components(scratch, met.distinct(), "a", "b"))
+    scratch.drop(shared)
+    scratch.drop(lists)
 
     members = scratch.keep(groups.join(nodes.select("node", "least", "print", "high", "low", "n"), "node"))
     size = members.groupBy("component").agg(F.sum("n").alias("s"))
