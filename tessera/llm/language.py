@@ -22,6 +22,9 @@ OWN_LETTERS, VECTORS = 0x250, 1024
 #: Distinct n-grams that are bound at once.
 BOUND_AT_ONCE = 8192
 
+#: N-grams of one language that a task holds before it bundles them; sums below this are exact in single precision.
+HELD, EXACT = 200_000, 1 << 24
+
 UNKNOWN = "und"
 
 
@@ -58,26 +61,43 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bundle(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The sum of the n-grams' vectors, each the product of its letters' permuted vectors, as often as it occurs."""
+    """The sum of the n-grams' vectors, each the product of its letters' permuted vectors, as often as it occurs. All sums
+    are whole numbers and exact, so their order doesn't matter."""
     total = np.zeros(DIMENSIONS)
+    kind = np.float32 if counts.sum() < EXACT else np.float64
     for start in range(0, len(codes), BOUND_AT_ONCE):
         part = codes[start : start + BOUND_AT_ONCE]
         bound = None
         for i, vectors in enumerate(_vectors()):
             letter = vectors[part // VECTORS ** (GRAM - 1 - i) % VECTORS]
             bound = letter if bound is None else np.multiply(bound, letter, out=bound)
-        total += counts[start : start + BOUND_AT_ONCE].astype(np.float32) @ bound.astype(np.float32)
+        total += counts[start : start + BOUND_AT_ONCE].astype(kind) @ bound.astype(kind)
     return total
 
 
+def _added(pending: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The bundle of the n-grams of several texts, each n-gram bound once."""
+    codes, counts = (np.concatenate(x) for x in zip(*pending, strict=True))
+    distinct, place = np.unique(codes, return_inverse=True)
+    return bundle(distinct, np.bincount(place, weights=counts).astype(np.int64))
+
+
 def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bundle of each language's texts in one partition."""
     total: dict[str, np.ndarray] = {}
+    pending: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    held: dict[str, int] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             codes, counts = grams(text.as_py())
             if len(codes):
-                total[lang] = total.get(lang, 0) + bundle(codes, counts)
+                pending.setdefault(lang, []).append((codes, counts))
+                held[lang] = held.get(lang, 0) + len(codes)
+                if held[lang] >= HELD:
+                    total[lang] = total.get(lang, 0) + _added(pending.pop(lang))
+                    held[lang] = 0
+    for lang, rest in pending.items():
+        total[lang] = total.get(lang, 0) + _added(rest)
     if total:
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total)), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], names=["lang", "total"]
