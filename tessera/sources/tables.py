@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.schema import Schema, schema_of
+from tessera.shipping import on_workers
 from tessera.sources import files
 from tessera.sources.base import SAMPLE, SPARK_ERRORS, Dataset, ReadOnlyDataset
 from tessera.validation import ErrorType, ValidationResult
@@ -294,6 +295,7 @@ class ExcelDataset(ReadOnlyDataset):
                             [pa.array(x, pa.string()) for x in zip(*part, strict=True)], names=[c[0] for c in columns]
                         )
 
+        on_workers(spark)
         raw = spark.read.format("binaryFile").load(self.path).select("content")
         return raw.mapInArrow(parse, ", ".join(f"`{c.name}` string" for c in self.schema.columns))
 
