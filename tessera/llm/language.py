@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import table
+from tessera.shipping import on_workers
 
 #: Dimensions of the vectors, letters of an n-gram, seed of the letters' vectors.
 DIMENSIONS, GRAM, SEED = 1024, 3, 42
@@ -107,6 +108,7 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(frame: DataFrame, text: str, lang: str) -> dict[str, np.ndarray]:
     """The unit profile of each language: the bundle of all its texts, whole. Rows without a language, and texts without
     a letter, teach nothing. The driver gets one vector for each language, already added up."""
+    on_workers(frame.sparkSession)
     labelled = frame.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     parts = labelled.mapInArrow(_learned, "lang string, total array<double>")
     sums = parts.select("lang", F.posexplode("total").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
@@ -122,6 +124,7 @@ def predict(frame: DataFrame, text: str, profiles: dict[str, np.ndarray], lang_o
     Nothing but the text decides. All columns of the input stay, in front; a column that has the name of an added one is
     replaced. An empty table gives an empty result.
     """
+    on_workers(frame.sparkSession)
     names, matrix = list(profiles), np.stack(list(profiles.values())) if profiles else np.zeros((0, DIMENSIONS))
     kept = [c for c in frame.columns if c.lower() not in (lang_out.lower(), score_out.lower())]
     source = frame.select(*(frame[f"`{c}`"] for c in kept), frame[f"`{text}`"].alias("__text"))

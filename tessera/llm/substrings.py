@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.words import FIRST, SECOND, blocks
+from tessera.shipping import on_workers
 
 #: Words of a passage that counts as repeated.
 WINDOW = 35
@@ -194,6 +195,7 @@ def without_repeats(frame: DataFrame, id_column: str, text_column: str, window:
     """
     if window < 1:
         raise ValueError("window must be at least 1")
+    on_workers(frame.sparkSession)
     period, members = cover(window)
     anchor = window - period + 1
     covers = np.zeros(period, bool)

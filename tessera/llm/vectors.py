@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bucket, table
+from tessera.shipping import on_workers
 
 #: Vectors that one task holds of each side, about.
 CANDIDATES_PER_BLOCK, QUERIES_PER_BLOCK = 8192, 1024
@@ -52,6 +53,7 @@ def search(
     several query rows with one id the smallest vector is searched for; a candidate with the query's own id is not one of
     its candidates; other repeated ids are candidates each. An empty table gives an empty result.
     """
+    on_workers(frame.sparkSession)
     rows = frame.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vec"), is_query.alias("asks"))
     total, asking = rows.agg(F.count("id"), F.count(F.when(F.col("asks"), 1))).first()
     many, asks = ceil(total / candidates_per_block) or 1, ceil(asking / queries_per_block) or 1
