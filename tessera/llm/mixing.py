@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Mapping
-from math import ceil
+from array import array
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
+from math import ceil, gcd, lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import gapless, table
+from tessera.llm.common import BROADCAST_BYTES, Scratch, gapless, table
 
 #: Rows of one source that are scheduled together.
 BLOCK_ROWS = 64
 
-#: Weights are rounded to whole parts of a period of so many slots (more, if there are more sources than that).
-PERIOD = 1000
+#: Slots that the driver makes, holds and writes at once. The schedule doesn't depend on it.
+PERIOD = 1 << 18
 
 #: Without target weights, a source weighs as its rows to this power: small sources are repeated, no row is left out.
 SMOOTHING = 0.85
@@ -38,29 +42,57 @@ def whole_parts(weights: Mapping[str, float], period: int) -> dict[str, int]:
     return parts
 
 
-def pfair_period(parts: Mapping[str, int]) -> list[tuple[str, int]]:
-    """One period of the schedule: the (source, its block in the period) of each slot.
+def exact_parts(weights: Mapping[str, float]) -> dict[str, int]:
+    """The smallest whole parts in exactly the proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(x.denominator for x in exact.values()))
+    parts = {s: int(x * scale) for s, x in exact.items()}
+    common = gcd(*parts.values())
+    return {s: p // common for s, p in parts.items()}
+
+
+def pfair(parts: Mapping[str, int]) -> Iterator[tuple[str, int]]:
+    """The endless schedule: the (source, its block) of each slot.
 
     The j-th block (from 0) of a source with p of P parts is released at slot floor(j P / p) and due by slot
-    ceil((j + 1) P / p); among the released blocks the earliest deadline runs, ties to the smaller source. So at each
-    slot t a source has had more than t p / P - 1 and less than t p / P + 1 blocks, and exactly p at the period's end.
+    ceil((j + 1) P / p); among the released blocks the earliest deadline runs, ties to the smaller source. So after t slots
+    a source has had more than t p / P - 1 and less than t p / P + 1 blocks, for any t, and exactly p after P.
     """
     period = sum(parts.values())
     waiting = [(0, s, 0) for s in sorted(parts)]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    slots = []
-    for t in range(period):
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
             _, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(j + 1) * period // parts[s]), s, j))
         due, s, j = heapq.heappop(ready)
         if due <= t:
             raise AssertionError("a block missed its deadline")
-        slots.append((s, j))
-        if j + 1 < parts[s]:
-            heapq.heappush(waiting, ((j + 1) * period // parts[s], s, j + 1))
-    return slots
+        yield s, j
+        heapq.heappush(waiting, ((j + 1) * period // parts[s], s, j + 1))
+        t += 1
+
+
+def pfair_period(parts: Mapping[str, int]) -> list[tuple[str, int]]:
+    """One period of the schedule."""
+    return list(islice(pfair(parts), sum(parts.values())))
+
+
+def _slots(parts: Mapping[str, int], end: int, at_once: int) -> Iterator[pa.Table]:
+    """The schedule's first slots, in lots."""
+    names = sorted(parts)
+    number = {s: i for i, s in enumerate(names)}
+    schedule = pfair(parts)
+    for start in range(0, end, at_once):
+        who, block = array("i"), array("q")
+        for s, j in islice(schedule, min(at_once, end - start)):
+            who.append(number[s])
+            block.append(j)
+        source = pa.DictionaryArray.from_arrays(pa.array(who, pa.int32()), pa.array(names, pa.string())).cast(pa.string())
+        slot = pa.array(range(start, start + len(who)), pa.int64())
+        yield pa.table({"__source": source, "__block_no": pa.array(block, pa.int64()), "__slot": slot})
 
 
 def mix(
@@ -73,12 +105,13 @@ def mix(
 ) -> DataFrame:
     """The rows in mixed order: each source's blocks of rows in the slots that the Pfair schedule gives it.
 
-    Every row comes at least once: the mix ends with the slot in which the last source has gone through all its rows;
-    sources that are through sooner start again (``epoch`` counts from 0). Adds ``epoch``, ``block`` (number of the
+    Every row comes at least once: the mix ends with the slot by which the last source is due to have gone through all its
+    rows; sources that are through sooner start again (``epoch`` counts from 0). Adds ``epoch``, ``block`` (number of the
     block in its source), ``slot`` (of the block in the mix) and ``position`` (of the row in the mix, gapless from 0).
     Rows with a null source are a source of their own. ``weights`` must name every source with a positive weight, and may
     name others, which are ignored. Ties in ``order`` come in any order. An empty table gives an empty result.
-    The driver sees one count for each source and one period of slots, and no rows.
+    The driver sees one count for each source and no rows. It makes the slots of the whole mix from the exact weights, so
+    no rounding adds up; ``period`` of them at a time are held and written to the shared folder.
     """
     named = frame.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-")))
     counts = {r["__source"]: r["n"] for r in named.groupBy("__source").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -89,23 +122,25 @@ def mix(
         if missing := sorted(s[1:] or "null" for s in counts if not given.get(s, 0) > 0):
             raise ValueError(f"no positive target weight for: {', '.join(missing)}")
         wanted = {s: given[s] for s in counts}
-    period = max(period, 4 * len(counts))
-    parts = whole_parts(wanted, period) if counts else {}
-    slots = pfair_period(parts) if counts else []
-    at = {}
-    for t, (s, j) in enumerate(slots):
-        at.setdefault(s, []).append(t)
-    # the number of slots until each source has had enough blocks
-    end = 0
-    for s, n in counts.items():
-        last = ceil(n / block_rows) - 1
-        end = max(end, last // parts[s] * period + at[s][last % parts[s]] + 1)
-    plan = []
-    for s, n in counts.items():
-        blocks = end // period * parts[s] + sum(t < end % period for t in at[s])
-        plan.append({"__source": s, "__rows": n, "__total": blocks * block_rows, "__parts": parts[s], "__at": at[s]})
-    schema = "array<struct<__source string, __rows bigint, __total bigint, __parts bigint, __at array<int>>>"
     spark = frame.sparkSession
+    scratch = Scratch(spark, "mixing")
+    parts = exact_parts(wanted) if counts else {}
+    # the slot by which the last block that a source needs is due
+    end = max((-(-ceil(n / block_rows) * sum(parts.values()) // parts[s]) for s, n in counts.items()), default=0)
+    lots, had = [], dict.fromkeys(counts, 0)
+    for lot in _slots(parts, end, period):
+        lots.append(scratch.keep(spark.createDataFrame(lot)))
+        for r in lot.group_by("__source").aggregate([("__block_no", "count")]).to_pylist():
+            had[r["__source"]] += r["__block_no_count"]
+    if lots:
+        slots = lots[0]
+        for lot in lots[1:]:
+            slots = slots.union(lot)
+        slots = F.broadcast(slots) if sum(scratch.bytes(lot) for lot in lots) <= BROADCAST_BYTES else slots
+    else:
+        slots = spark.createDataFrame([], "__source string, __block_no bigint, __slot bigint")
+    plan = [{"__source": s, "__rows": n, "__total": had[s] * block_rows} for s, n in counts.items()]
+    schema = "array<struct<__source string, __rows bigint, __total bigint>>"
     sources = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(plan)), schema)).alias("p")).select("p.*")
     blocks = max(1, ceil(sum(counts.values()) / ROWS_PER_TASK))
     ranked = gapless(named, ["__source"], order, "__rank", blocks)
@@ -113,12 +148,12 @@ def mix(
         "epoch", F.explode(F.sequence(F.lit(0), ((F.col("__total") - 1 - F.col("__rank")) / F.col("__rows")).cast("int")))
     )
     here = F.col("__rank") + F.col("epoch") * F.col("__rows")
-    block = F.floor(here / block_rows).cast("long")
-    round_ = F.floor(block / F.col("__parts")).cast("long")
-    slot = round_ * period + F.element_at("__at", (block % F.col("__parts")).cast("int") + 1)
+    placed = turns.withColumns({"__here": here, "__block_no": F.floor(here / block_rows).cast("long")})
+    position = F.col("__slot") * block_rows + F.col("__here") % block_rows
     return (
-        turns.withColumns({"block": block, "slot": slot.cast("long"), "position": (slot * block_rows + here % block_rows).cast("long")})
-        .drop("__source", "__rows", "__total", "__parts", "__at", "__rank")
+        placed.join(slots, ["__source", "__block_no"])
+        .withColumns({"block": F.col("__block_no"), "slot": F.col("__slot"), "position": position.cast("long")})
+        .drop("__source", "__rows", "__total", "__rank", "__here", "__block_no", "__slot")
     )
 
 

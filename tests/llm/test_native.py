@@ -112,6 +112,20 @@ def test_pfair_period_never_deviates_by_a_block(weights):
     assert done == parts
 
 
+def test_mix_never_deviates_by_a_block_from_the_given_weights(spark):
+    rows = {"big": 4000, "tiny": 2} | {f"s{i:02}": 420 for i in range(19)}
+    parts = F.explode(F.array(*(F.struct(F.lit(s).alias("source"), F.lit(n).alias("n")) for s, n in rows.items()))).alias("p")
+    frame = spark.range(1).select(parts).select("p.source", F.explode(F.sequence(F.lit(1), F.col("p.n"))).alias("doc_id"))
+    weights = {s: n / 4 for s, n in rows.items()}
+    got = mix(frame, "source", ["doc_id"], weights, block_rows=1).select("slot", "source").collect()
+    assert sorted(r["slot"] for r in got) == list(range(len(got)))
+    done = Counter()
+    for t, r in enumerate(sorted(got), 1):
+        done[r["source"]] += 1
+        assert all(abs(done[s] - t * n / sum(rows.values())) < 1 + 1e-9 for s, n in rows.items())
+    assert len(got) == sum(rows.values()) and done == rows  # the weights are the sources' rows: none comes again
+
+
 def test_mixing_query(spark):
     found = op7_mixing(spark, "/root/testdata/sf0.01")
     rows = found.collect()
