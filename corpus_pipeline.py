@@ -6,7 +6,7 @@ one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
@@ -27,12 +27,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that aren't near-duplicates (similarity 0.8 of five-word shingles) of one with a smaller id. Of rows
-    with the same id that would stay, all do."""
+    """One document of each group of near-duplicates (similarity 0.8 of five-word shingles): the one with the smallest id,
+    of one id the one with the smallest hash of its text, and of rows with one id and one text the first by the other
+    columns. Ids are only names here: rows that share an id, or have none, are decided by their own texts. Texts without a
+    word have no near-duplicates but rows with the same id and text."""
     scratch = Scratch(spark, "near_dedup")
-    found = near_duplicates(docs, "doc_id", "text")
-    gone = scratch.keep(found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(scratch.small(gone), docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    found = near_duplicates(docs, "doc_id", "text", by_print=True)
+    marks = found.groupBy(F.col("doc_id").alias("__id"), F.col("print").alias("__its_print")).agg(
+        F.bool_and("kept").alias("__kept"), F.count(F.lit(1)).alias("__n")
+    )
+    marks = scratch.keep(marks.where(~F.col("__kept") | (F.col("__n") > 1)))
+    repeated = scratch.keep(marks.where(F.col("__kept")))
+    printed = docs.withColumn("__print", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__its_print"))
+    out = printed.join(scratch.small(marks), same, "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return out
+    own = Window.partitionBy("doc_id", "__print").orderBy(*docs.columns)
+    first = printed.join(scratch.small(repeated), same, "left_semi").withColumn("__place", F.row_number().over(own))
+    return out.unionByName(first.where("__place = 1").select(*docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

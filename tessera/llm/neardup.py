@@ -272,7 +272,7 @@ def _in_block_pairs(rows: DataFrame, key: str, blocks_column: str, payload: list
 
 
 def near_duplicates(
-    frame: DataFrame, id_column: str, text_column: str, percent: int = PERCENT, matches: int = MATCHES,
+    frame: DataFrame, id_column: str, text_column: str, percent: int = PERCENT, matches: int = MATCHES, by_print: bool = False,
 ) -> DataFrame:
     """For each row the id, ``n_shingles``, ``component_id`` (smallest id of its group of near-duplicates) and ``kept``
     (whether the id is that).
@@ -289,6 +289,10 @@ def near_duplicates(
     Ids are whole numbers. A null or empty text has an empty set and no link. Rows with one id and one text share a group; a null id is larger
     than any other, and a group of null ids alone has a null component_id and is kept. An empty table gives an empty
     result. Other columns are not carried.
+
+    With ``by_print``, rows with one id and other texts are told apart: adds ``print`` (xxhash64 of the text), and a row is
+    ``kept`` if its id and print are those of its group's first row (by id, then print; a text without a word is a group of
+    its own). So only rows with equal id and print are kept together.
     """
     spark = frame.sparkSession
     scratch = Scratch(spark, "neardup")
@@ -334,17 +338,26 @@ def near_duplicates(
     joined = components(scratch, links, "a", "b")
 
     roots = nodes.join(joined, "node", "left").select(
-        "high", "low", "least", F.coalesce("component", "node").alias("root")
+        "high", "low", "least", "print", F.coalesce("component", "node").alias("root")
     )
-    smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = roots.join(smallest, "root").select("high", "low", "component_id")
-    out = sets.select("id", "n", "high", "low").join(found, ["high", "low"], "left")
+    if by_print:
+        first = F.min(F.struct(F.col("least").isNull(), F.col("least").alias("id"), "print")).alias("first")
+        smallest = roots.groupBy("root").agg(first).select("root", F.col("first.id").alias("component_id"), F.col("first.print").alias("its_print"))
+        found = roots.join(smallest, "root").select("high", "low", "component_id", "its_print")
+    else:
+        smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+        found = roots.join(smallest, "root").select("high", "low", "component_id")
+    out = sets.select("id", "n", "high", "low", *(["print"] if by_print else [])).join(found, ["high", "low"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    kept = F.col("id").eqNullSafe(component)
+    if by_print:
+        kept &= (F.col("n") == 0) | (F.col("print") == F.col("its_print"))
     return out.select(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
+        kept.alias("kept"),
+        *(["print"] if by_print else []),
     )
 
 

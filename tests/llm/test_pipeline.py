@@ -64,6 +64,17 @@ def test_odd_documents(spark):
     assert {r["doc_id"] for r in seen[3]} == {4, None, 7}
 
 
+def test_near_dedup_tells_rows_with_one_id_apart(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(3, a), (None, a), (None, b), (5, c), (5, d), (2, d), (6, e), (6, e), (None, f"{b} more"), (8, f"{e} more"), (9, ""), (9, None), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", str(n), 1) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert got.columns == COLUMNS
+    left = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert sum(i is None for i, _ in left) == 1 and {t for i, t in left if i is None} <= {b, f"{b} more"}
+    assert sorted((x for x in left if x[0] is not None), key=repr) == sorted([(3, a), (5, c), (2, d), (6, e), (9, ""), (9, None), (10, "")], key=repr)
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     scratch = Scratch(spark, "test")
