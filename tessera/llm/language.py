@@ -117,23 +117,29 @@ def learn(frame: DataFrame, text: str, lang: str) -> dict[str, np.ndarray]:
     return {k: v / np.linalg.norm(v) for k, v in profiles.items() if np.linalg.norm(v) > 0}
 
 
-def predict(frame: DataFrame, text: str, profiles: dict[str, np.ndarray], lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+def predict(
+    frame: DataFrame, text: str, profiles: dict[str, np.ndarray], lang_out: str = "lang_pred", score_out: str = "score",
+    grams_out: str | None = None,
+) -> DataFrame:
     """Adds the language whose profile has the largest cosine with the text's bundle (ties to the smaller name), and that
     cosine, between 0 and 1. A null text, one without a letter, or no profile at all gives ``und`` and 0.
 
+    ``grams_out`` names a column for the number of the text's distinct n-grams, which is not added without a name.
     Nothing but the text decides. All columns of the input stay, in front; a column that has the name of an added one is
     replaced. An empty table gives an empty result.
     """
     on_workers(frame.sparkSession)
     names, matrix = list(profiles), np.stack(list(profiles.values())) if profiles else np.zeros((0, DIMENSIONS))
-    kept = [c for c in frame.columns if c.lower() not in (lang_out.lower(), score_out.lower())]
+    added = [lang_out, score_out, *([grams_out] if grams_out else [])]
+    kept = [c for c in frame.columns if c.lower() not in [x.lower() for x in added]]
     source = frame.select(*(frame[f"`{c}`"] for c in kept), frame[f"`{text}`"].alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, scores = [], []
+            found, scores, sizes = [], [], []
             for value in batch.column(batch.num_columns - 1):
                 codes, counts = grams(value.as_py())
+                sizes.append(len(codes))
                 own = bundle(codes, counts)
                 length = np.linalg.norm(own)
                 if not names or not length:
@@ -145,14 +151,16 @@ def predict(frame: DataFrame, text: str, profiles: dict[str, np.ndarray], lang_o
                 best = int(cosine.argmax())
                 found.append(names[best])
                 scores.append(float(min(1.0, max(0.0, cosine[best]))))
-            columns = [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(f"c{i}" for i in range(len(kept))), "lang", "score"])
+            columns = [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())]
+            names_ = [*(f"c{i}" for i in range(len(kept))), "lang", "score", "grams"]
+            yield pa.RecordBatch.from_arrays(columns[: len(kept) + len(added)], names=names_[: len(kept) + len(added)])
 
     schema = T.StructType([
         *(T.StructField(f"c{i}", source.schema[i].dataType) for i in range(len(kept))),
         T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()),
+        *([T.StructField("grams", T.LongType())] if grams_out else []),
     ])
-    return source.mapInArrow(run, schema).toDF(*kept, lang_out, score_out)
+    return source.mapInArrow(run, schema).toDF(*kept, *added)
 
 
 def remainder(doc_id: Column) -> Column:

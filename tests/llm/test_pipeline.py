@@ -1,5 +1,7 @@
 """The corpus pipeline, stage by stage and whole."""
 
+import random
+
 import corpus_pipeline
 import duckdb
 import pytest
@@ -64,6 +66,19 @@ def test_odd_documents(spark):
     assert {r["doc_id"] for r in seen[3]} == {4, None, 7}
 
 
+def test_language_rejects_unknown_scripts_and_junk(spark):
+    rng = random.Random(5)
+    scripts = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "".join(map(chr, range(0x430, 0x450))), "greek": "".join(map(chr, range(0x3B1, 0x3CA)))}
+    words = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(n))
+    rows = [(-1 - i, words(letters, n), None, name, n) for name, letters in scripts.items() for n in (30, 300) for i in range(10)]
+    rows += [(-100, "да", None, "short", 2), (-101, "it", "en", "short", 2)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixed = docs.select(*COLUMNS).unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    got = corpus_pipeline.language_id(spark, mixed, SF).select("doc_id", "source", "lang").collect()
+    assert sum(r["doc_id"] >= 0 for r in got) == docs.count()
+    assert {(r["doc_id"], r["source"], r["lang"]) for r in got if r["doc_id"] < 0} == {(-100, "short", "und"), (-101, "short", "en")}
+
+
 def test_near_dedup_tells_rows_with_one_id_apart(spark):
     a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
     rows = [(3, a), (None, a), (None, b), (5, c), (5, d), (2, d), (6, e), (6, e), (None, f"{b} more"), (8, f"{e} more"), (9, ""), (9, None), (10, "")]
