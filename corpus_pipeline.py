@@ -73,9 +73,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in mixed order, every one at least once, those of small sources again until all sources are through."""
-    mixed = mix(docs.withColumn("__print", F.xxhash64("text")), "source", ["doc_id", "__print"])
-    return in_mixed_order(mixed).select(*docs.columns)
+    """The documents in mixed order, every one at least once, those of small sources again until all sources are through.
+    The documents' columns stay as they are, also ones named like those that the mix adds."""
+    own = docs.toDF(*(f"__own_{c}" for c in docs.columns))
+    mixed = mix(own.withColumn("__print", F.xxhash64("__own_text")), "__own_source", ["__own_doc_id", "__print"])
+    return in_mixed_order(mixed).select(*own.columns).toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,7 +107,9 @@ def mix(
 
     Every row comes at least once: the mix ends with the slot by which the last source is due to have gone through all its
     rows; sources that are through sooner start again (``epoch`` counts from 0). Adds ``epoch``, ``block`` (number of the
-    block in its source), ``slot`` (of the block in the mix) and ``position`` (of the row in the mix, gapless from 0).
+    block in its source), ``slot`` (of the block in the mix) and ``position`` (of the row in the mix, gapless from 0),
+    behind the frame's own columns, which all stay as they are. An own column with one of these names (in any case) is then
+    there beside the added one, and has to be renamed before or after to be selected by name or stored.
     Rows with a null source are a source of their own. ``weights`` must name every source with a positive weight, and may
     name others, which are ignored. Ties in ``order`` come in any order. An empty table gives an empty result.
     The driver sees one count for each source and no rows. It makes the slots of the whole mix from the exact weights, so
@@ -145,15 +147,16 @@ def mix(
     blocks = max(1, ceil(sum(counts.values()) / ROWS_PER_TASK))
     ranked = gapless(named, ["__source"], order, "__rank", blocks)
     turns = ranked.join(F.broadcast(sources), "__source").withColumn(
-        "epoch", F.explode(F.sequence(F.lit(0), ((F.col("__total") - 1 - F.col("__rank")) / F.col("__rows")).cast("int")))
+        "__epoch", F.explode(F.sequence(F.lit(0), ((F.col("__total") - 1 - F.col("__rank")) / F.col("__rows")).cast("int")))
     )
-    here = F.col("__rank") + F.col("epoch") * F.col("__rows")
+    here = F.col("__rank") + F.col("__epoch") * F.col("__rows")
     placed = turns.withColumns({"__here": here, "__block_no": F.floor(here / block_rows).cast("long")})
     position = F.col("__slot") * block_rows + F.col("__here") % block_rows
+    own = [F.col(f"`{c}`") for c in frame.columns]
     return (
         placed.join(slots, ["__source", "__block_no"])
-        .withColumns({"block": F.col("__block_no"), "slot": F.col("__slot"), "position": position.cast("long")})
-        .drop("__source", "__rows", "__total", "__rank", "__here", "__block_no", "__slot")
+        .select(*own, "__epoch", "__block_no", "__slot", position.cast("long"))
+        .toDF(*frame.columns, "epoch", "block", "slot", "position")
     )
 
 

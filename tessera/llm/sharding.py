@@ -64,12 +64,15 @@ def shard(
 
     The key column alone, with the number of shards, decides the shard; equal keys share a shard, and rows with a null
     key share one too. ``order`` makes slots deterministic; rows equal in all its columns get slots in any order.
-    An empty table gives an empty result. Other columns stay as they are, also ones named ``shard`` in other case.
+    An empty table gives an empty result. The frame's own columns stay as they are, in front. One with the name of an added
+    column (in any case) is then there beside it, and has to be renamed before or after to be selected by name or stored.
     """
     stable = F.xxhash64(key)
-    placed = frame.withColumns({"shard": jump_hash(stable, shards), "grown_shard": jump_hash(stable, shards + 1)})
+    placed = frame.withColumns({"__shard": jump_hash(stable, shards), "__grown": jump_hash(stable, shards + 1)})
     blocks = max(1, ceil(frame.count() / rows_per_block))
-    return gapless(placed, ["shard"], order, "slot", blocks)
+    numbered = gapless(placed, ["__shard"], order, "__slot", blocks)
+    own = [F.col(f"`{c}`") for c in frame.columns]
+    return numbered.select(*own, "__shard", "__grown", "__slot").toDF(*frame.columns, "shard", "grown_shard", "slot")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

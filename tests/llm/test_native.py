@@ -149,3 +149,19 @@ def test_mixing_of_odd_rows(spark):
     with pytest.raises(ValueError, match="null"):
         mix(frame, "source", ["doc_id"], {"big": 1, "": 1})
     assert mix(frame.limit(0), "source", ["doc_id"]).collect() == []
+
+
+def test_own_columns_stay_beside_added_ones(spark):
+    frame = spark.createDataFrame([(i, "ab"[i % 2], -i, f"b{i}", -2 * i, f"e{i}") for i in range(1, 31)], "doc_id long, source string, slot int, Block string, POSITION long, epoch string")
+    mixed = mix(frame, "source", ["doc_id"], block_rows=4)
+    assert mixed.columns == [*frame.columns, "epoch", "block", "slot", "position"]
+    got = [tuple(r) for r in mixed.collect()]
+    assert {r[:6] for r in got} == {tuple(r) for r in frame.collect()}
+    assert sorted(r[9] for r in got) == list(range(len(got))) and all(r[9] // 4 == r[8] for r in got)
+    frame = frame.toDF("doc_id", "SHARD", "slot", "Grown_Shard", "x", "shards")
+    split = shard(frame, "doc_id", 4, ["doc_id", "slot"])
+    assert split.columns == [*frame.columns, "shard", "grown_shard", "slot"]
+    got = [tuple(r) for r in split.collect()]
+    assert {r[:6] for r in got} == {tuple(r) for r in frame.collect()}
+    for s in range(4):
+        assert sorted(r[8] for r in got if r[6] == s) == list(range(sum(r[6] == s for r in got)))

@@ -79,6 +79,13 @@ def test_language_rejects_unknown_scripts_and_junk(spark):
     assert {(r["doc_id"], r["source"], r["lang"]) for r in got if r["doc_id"] < 0} == {(-100, "short", "und"), (-101, "short", "en")}
 
 
+def test_mixing_stage_keeps_own_columns(spark):
+    rows = [(i, f"text {i}", "en", "ab"[i % 2], 1, -i, f"p{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, slot int, Position string")
+    got = corpus_pipeline.mixing(spark, docs, SF)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == set(rows)
+
+
 def test_near_dedup_tells_rows_with_one_id_apart(spark):
     a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
     rows = [(3, a), (None, a), (None, b), (5, c), (5, d), (2, d), (6, e), (6, e), (None, f"{b} more"), (8, f"{e} more"), (9, ""), (9, None), (10, "")]
