@@ -16,7 +16,7 @@ from tessera.functions import is_true, parse_decimal, parse_int, parse_money, pa
 from tessera.operators import models, tables
 from tessera.plans import Constant, PassThrough, Pipeline, PipelineBuilder
 from tessera.schema import column
-from tessera.sources import BinaryObject, Catalog, CsvDataset, ExcelDataset, FileType, JsonDataset, JsonObject, MemoryDataset, MemoryObject, NoData, ParquetDataset, TextObject, entry
+from tessera.sources import BinaryObject, Catalog, CsvDataset, ExcelDataset, FileType, JsonDataset, JsonObject, MemoryDataset, MemoryObject, ParquetDataset, TextObject, entry
 from tessera.validation import Level
 
 SCORES = ("rating", "comfort", "amenities", "trip", "crew", "location", "price")
@@ -209,12 +209,31 @@ def cross_validate(model_input: DataFrame, params: FoldParams) -> dict:
     return models.summarize_folds(folds, params.reference_r2).first().asDict(recursive=True)
 
 
+@dataclass
+class Difference:
+    key: str
+    found: str
+    fields: str
+
+
+#: The fields that the check against the reference compares: numbers within the tolerance, the others exactly.
+COMPARED_NUMBERS = ("engines", "passenger_capacity", "crew", "price", "company_rating", "review_scores_rating")
+COMPARED_EXACTLY = ("shuttle_type", "d_check_complete", "moon_clearance_complete", "company_id", "company_location", "iata_approved")
+
+
 def check_reference(model_input: DataFrame, reference: DataFrame) -> DataFrame:
-    """The first rows of the comparison by shuttle and month rate that differ, and how many agree."""
-    key = F.concat_ws("|", "id", F.col("reviews_per_month").cast("double").cast("string"))
-    numeric = ("price", "engines", "company_rating", "review_scores_rating")
-    found = tables.reconcile(model_input.withColumn("key", key).dropDuplicates(["key"]), reference.withColumn("key", key).dropDuplicates(["key"]), "key", numeric)
-    return found.groupBy("all_ok").count()
+    """All differences by shuttle and month rate: for rows of both tables the names of the fields that differ, and the keys
+    that only one table has. Raises if a key occurs more than once in a table."""
+    rate = F.coalesce(F.col("reviews_per_month").cast("double").cast("string"), F.lit(""))
+    left, right = (f.withColumn("key", F.concat(F.coalesce("id", F.lit("")), F.lit("|"), rate)) for f in (model_input, reference))
+    found = tables.reconcile(left, right, "key", COMPARED_NUMBERS, COMPARED_EXACTLY)
+    fields = F.concat_ws(", ", *(F.when(~F.col(f"{c}_ok"), F.lit(c)) for c in (*COMPARED_NUMBERS, *COMPARED_EXACTLY)))
+    both = found.where(~F.col("all_ok")).select("key", F.lit("both").alias("found"), fields.alias("fields"))
+    only = [
+        tables.keys_in_left_only(a.select("key"), b.select("key")).select("key", F.lit(where).alias("found"), F.lit("").alias("fields"))
+        for a, b, where in ((left, right, "model input only"), (right, left, "reference only"))
+    ]
+    return both.union(only[0]).union(only[1])
 
 
 def capacity_chart(shuttles: DataFrame) -> dict:
@@ -262,6 +281,10 @@ class FleetCatalog(Catalog):
     def reference(self):
         return CsvDataset("ReferenceModelInput", ModelInput, self.path("reference", "model_input.csv"))
 
+    @entry
+    def reference_differences(self):
+        return CsvDataset("ReferenceDifferences", Difference, self.path("diagnostics", "reference_differences.csv"))
+
     @entry
     def companies(self):
         return ParquetDataset("CleanedCompanies", Company, self.path("clean", "companies.parquet"))
@@ -371,7 +394,7 @@ def data_science(c: FleetCatalog, params: ScienceParams) -> Pipeline:
 def data_validation(c: FleetCatalog) -> Pipeline:
     return (
         PipelineBuilder("DataValidation")
-        .add_node(check_reference, {"model_input": c.model_input, "reference": c.reference}, NoData.output(), "CheckAgainstReference")
+        .add_node(check_reference, {"model_input": c.model_input, "reference": c.reference}, c.reference_differences, "CheckAgainstReference")
         .add_node(PassThrough(), c.companies, c.companies_csv, "ExportCompaniesCsv")
         .add_node(PassThrough(), c.shuttles, c.shuttles_csv, "ExportShuttlesCsv")
         .add_node(PassThrough(), c.model_input, c.model_input_csv, "ExportModelInputCsv")

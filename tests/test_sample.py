@@ -63,6 +63,19 @@ def test_sample_runs_whole(spark, tmp_path, capsys):
     assert rows["DataProcessing.CreateModelInputTable"]["rows_out"] == joined
 
 
+def test_reference_differences_are_named(spark):
+    names = [*fleet.COMPARED_NUMBERS, *fleet.COMPARED_EXACTLY]
+    base = {"id": "s", "reviews_per_month": 1.5} | {c: 2.0 for c in fleet.COMPARED_NUMBERS} | {c: "x" for c in fleet.COMPARED_EXACTLY}
+    schema = ", ".join(f"{c} {'double' if c in ('reviews_per_month', *fleet.COMPARED_NUMBERS) else 'string'}" for c in base)
+    frame = lambda rows: spark.createDataFrame([tuple((base | r).values()) for r in rows], schema)
+    left = frame([{"id": c} for c in names] + [{"id": "same"}, {"id": "same", "reviews_per_month": None}, {"id": "left"}])
+    right = frame([{"id": c, c: 3.0 if c in fleet.COMPARED_NUMBERS else None} for c in names] + [{"id": "same", "crew": 2.001}, {"id": "same", "reviews_per_month": None}, {"id": "right"}])
+    got = {tuple(r) for r in fleet.check_reference(left, right).collect()}
+    assert got == {(f"{c}|1.5", "both", c) for c in names} | {("left|1.5", "model input only", ""), ("right|1.5", "reference only", "")}
+    with pytest.raises(ValueError, match="more than once"):
+        fleet.check_reference(left, right.union(right.where("id = 'crew'")))
+
+
 def test_merged_layers_and_graph(spark, tmp_path):
     app = app_of(tmp_path)
     merged = Pipeline.merge(app.pipelines).build()
