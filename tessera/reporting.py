@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame
 
 
 def column_chart(frame: DataFrame, label: str, value: str, title: str = "", limit: int = 1000) -> dict:
-    """Columns of an already aggregated table."""
-    rows = frame.select(label, value).limit(limit).collect()
+    """Columns of an already aggregated table. Raises if it has more rows than the limit; none is left out."""
+    rows = frame.select(label, value).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a column chart of {label} has more than {limit} columns")
     return {
         "data": [{"type": "bar", "x": [r[0] for r in rows], "y": [r[1] for r in rows]}],
         "layout": {"title": {"text": title}, "xaxis": {"title": {"text": label}}, "yaxis": {"title": {"text": value}}},

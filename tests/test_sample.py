@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from tessera import reporting
 from tessera.app import Application
 from tessera.meta import dag, dag_frames, from_json, to_json, to_mermaid
 from tessera.plans import Pipeline
@@ -76,6 +77,13 @@ def test_reference_differences_are_named(spark):
         fleet.check_reference(left, right.union(right.where("id = 'crew'")))
 
 
+def test_column_chart_leaves_no_group_out(spark):
+    groups = spark.range(1001).selectExpr("id", "id * 2 as n")
+    assert len(reporting.column_chart(groups, "id", "n", limit=1001)["data"][0]["x"]) == 1001
+    with pytest.raises(ValueError, match="more than 1000"):
+        reporting.column_chart(groups, "id", "n")
+
+
 def test_merged_layers_and_graph(spark, tmp_path):
     app = app_of(tmp_path)
     merged = Pipeline.merge(app.pipelines).build()
