@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, components, table
-from tessera.llm.words import FIRST, SECOND, blocks, mixed
+from tessera.llm.words import FIRST, SECOND, Family, blocks, mixed
 
 #: Words of a shingle; links need an intersection of at least PERCENT hundredths of the union (the stages' default is 80).
 SHINGLE, PERCENT = 5, 80
@@ -29,17 +29,17 @@ _SALT, _FACTOR = np.random.default_rng(7).integers(1, 1 << 63, (2, COORDINATES),
 _FACTOR |= np.uint64(1)
 
 
-def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, size: int = SHINGLE, family: Family = FIRST) -> Iterator[np.ndarray]:
     """For each text, the sorted distinct hashes of its runs of ``size`` words, A-Z taken as a-z; of the whole sequence
     where it has fewer words; nothing where it has none."""
     for block in blocks(texts):
-        words = block.hashes(FIRST, True)
-        runs = FIRST.runs(words, size)
+        words = block.hashes(family, True)
+        runs = family.runs(words, size)
         for a, b in zip(block.bounds[:-1], block.bounds[1:], strict=True):
             if b - a >= size:
                 yield np.unique(runs[a : b - size + 1])
             elif b > a:
-                yield np.array([FIRST.whole(words[a:b])], np.uint64)
+                yield np.array([family.whole(words[a:b])], np.uint64)
             else:
                 yield np.empty(0, np.uint64)
 
@@ -55,21 +55,19 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least.astype(np.uint32)
 
 
-def set_hash(shingles: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set."""
-    high, low = (int(mixed(shingles ^ np.uint64(f.base)).sum(dtype=np.uint64)) for f in (FIRST, SECOND))
-    return high - (1 << 63), low - (1 << 63)
+def set_hash(shingles: np.ndarray) -> int:
+    """64 bits that name a set. Those of two families name it by 128 bits of each shingle."""
+    return int(mixed(shingles).sum(dtype=np.uint64)) - (1 << 63)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, print, n, and of a set that isn't empty its hash and signature."""
     for batch in batches:
         sizes, high, low, marks = [], [], [], []
-        for s in shingle_sets(batch.column(1)):
-            h = set_hash(s) if len(s) else (None, None)
+        for s, again in zip(shingle_sets(batch.column(1)), shingle_sets(batch.column(1), family=SECOND), strict=True):
             sizes.append(len(s))
-            high.append(h[0])
-            low.append(h[1])
+            high.append(set_hash(s) if len(s) else None)
+            low.append(set_hash(again) if len(s) else None)
             marks.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(marks, pa.binary())],
@@ -239,10 +237,11 @@ def _verified(percent: int):  # noqa: ANN202
             if rows.num_rows < 2:
                 continue
             rows = rows.combine_chunks()
-            sets = [s for c in rows["text"].chunks for s in shingle_sets(c)]
+            # other hashes than those that brought the sets together, so that no chance of the first ones links them
+            sets = [s for c in rows["text"].chunks for s in shingle_sets(c, family=SECOND)]
             # a text that isn't the one that named the node (its id is there twice) is left out
-            high, low = rows["high"].to_numpy(), rows["low"].to_numpy()
-            own = np.array([len(s) > 0 and set_hash(s) == (high[k], low[k]) for k, s in enumerate(sets)], bool)
+            low = rows["low"].to_numpy()
+            own = np.array([len(s) > 0 and set_hash(s) == low[k] for k, s in enumerate(sets)], bool)
             nodes, at = np.unique(rows["node"].to_numpy()[own], return_index=True)
             at = np.flatnonzero(own)[at]
             sets, block = [sets[k] for k in at], rows["block"].to_numpy()[at]
@@ -303,8 +302,8 @@ def near_duplicates(
         F.min(F.struct(F.col("id").isNull(), "id", "print")).alias("first"), F.first("sig").alias("sig"), F.first("n").alias("n")
     )
     nodes = nodes.select("high", "low", "sig", "n", F.col("first.id").alias("least"), F.col("first.print").alias("print"))
-    # a node is named by 64 bits of its set's hash; the two nodes of a collision would share their links
-    nodes = scratch.keep(nodes.withColumn("node", F.xxhash64("high", "low")))
+    # a node's number is its row's in the stored table, so no two nodes can share one
+    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     posts = nodes.select("node", "sig").mapInArrow(_postings, "node long, post long")
     frequency = posts.groupBy("post").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -325,15 +324,15 @@ def near_duplicates(
     scratch.drop(shared)
     scratch.drop(lists)
 
-    members = scratch.keep(groups.join(nodes.select("node", "least", "print", "high", "low", "n"), "node"))
+    members = scratch.keep(groups.join(nodes.select("node", "least", "print", "low", "n"), "node"))
     size = members.groupBy("component").agg(F.sum("n").alias("s"))
     blocks_ = F.ceil(F.col("s") / GROUP_SHINGLES)
     members = members.join(size, "component").withColumns(
         {"blocks": blocks_, "block": F.pmod(F.xxhash64("node"), blocks_).cast("int")}
     )
-    members = scratch.keep(members.select("component", "node", "least", F.col("print").alias("its_print"), "high", "low", "block", "blocks"))
+    members = scratch.keep(members.select("component", "node", "least", F.col("print").alias("its_print"), "low", "block", "blocks"))
     texts = rows.join(scratch.small(members), F.col("id").eqNullSafe(F.col("least")) & (F.col("print") == F.col("its_print")))
-    spread = _in_block_pairs(texts, "component", "blocks", ["node", "high", "low", "text"])
+    spread = _in_block_pairs(texts, "component", "blocks", ["node", "low", "text"])
     links = spread.mapInArrow(_verified(percent), "a long, b long")
     joined = components(scratch, links, "a", "b")
 

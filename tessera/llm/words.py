@@ -19,52 +19,70 @@ _LOWER[65:91] += 32
 
 _U = np.uint64
 
-
-def _powers(base: int, count: int) -> np.ndarray:
-    out = np.full(count, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: Bytes of a word that are mixed at once, and the masks that leave the first 0 to 8 of them.
+CHUNK = 8
+_FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(CHUNK + 1)], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection that spreads all bits (a published 64-bit finalizer)."""
     h = h ^ (h >> _U(30))
-    h = h * _U(0xBF58476D1CE4E5B9)
+    h *= _U(0xBF58476D1CE4E5B9)
     h ^= h >> _U(27)
     h *= _U(0x94D049BB133111EB)
     h ^= h >> _U(31)
     return h
 
 
-@dataclass
 class Family:
-    """A family of hashes: a random value for each byte and odd bases for places in words and in sequences."""
+    """A family of hashes of words and of sequences of words.
+
+    A word is cut into chunks of 8 bytes. Each chunk is combined with a random key of its place and mixed, which no sum of
+    other chunks undoes; the sum of the chunks and the length are mixed again. A polynomial in the bytes modulo 2^64 would
+    not do: it takes some pairs of words of 1,024 bytes for equal whatever its base. Sequences are sums of word hashes by
+    random odd factors of their places, not by powers of one.
+    """
 
-    seed: int
+    def __init__(self, seed: int) -> None:
+        rng = np.random.default_rng(seed)
+        self.length_key, self.whole_key, self.place_key, self.step_key = (int(x) | 1 for x in rng.integers(1 << 40, 1 << 63, 4))
 
-    def __post_init__(self) -> None:
-        rng = np.random.default_rng(self.seed)
-        self.bytes = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-        self.base, self.step = (int(x) | 1 for x in rng.integers(1 << 40, 1 << 63, 2))
-        self.places = _powers(self.base, 64)
+    def _keys(self, places: np.ndarray) -> np.ndarray:
+        return mixed((places.astype(np.uint64) + _U(1)) * _U(self.place_key))
 
-    def places_to(self, length: int) -> np.ndarray:
-        if length > len(self.places):
-            self.places = _powers(self.base, 2 * length)
-        return self.places
+    def _factors(self, length: int) -> np.ndarray:
+        return mixed(np.arange(1, length + 1, dtype=np.uint64) * _U(self.step_key)) | _U(1)
+
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of each of the words data[start:end], none of which is empty."""
+        if not len(starts):
+            return np.empty(0, np.uint64)
+        padded = np.concatenate([data, np.zeros(CHUNK, np.uint8)])
+        at_byte = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each byte on
+        lengths = ends - starts
+        total = mixed((at_byte[starts] & _FIRST_BYTES[np.minimum(lengths, CHUNK)]) ^ self._keys(np.zeros(1, np.int64)))
+        long = np.flatnonzero(lengths > CHUNK)
+        if len(long):
+            chunks = (lengths[long] - 1) // CHUNK
+            first = np.cumsum(chunks) - chunks
+            place = np.arange(int(chunks.sum()), dtype=np.int64) - np.repeat(first, chunks) + 1
+            at = np.repeat(starts[long], chunks) + CHUNK * place
+            rest = np.minimum(np.repeat(ends[long], chunks) - at, CHUNK)
+            total[long] += np.add.reduceat(mixed((at_byte[at] & _FIRST_BYTES[rest]) ^ self._keys(place)), first)
+        return mixed(total ^ lengths.astype(np.uint64) * _U(self.length_key))
 
     def runs(self, words: np.ndarray, length: int) -> np.ndarray:
         """Hashes of all runs of ``length`` consecutive word hashes, by their first word."""
         count = max(0, len(words) - length + 1)
         total = np.zeros(count, np.uint64)
-        for factor, i in zip(_powers(self.step, length), range(length), strict=True):
+        for i, factor in enumerate(self._factors(length)):
             total += words[i : i + count] * factor
         return mixed(total)
 
     def whole(self, words: np.ndarray) -> int:
         """Hash of a whole sequence, different from that of a run."""
-        total = (words * _powers(self.step, len(words))).sum(dtype=np.uint64) if len(words) else _U(0)
-        return int(mixed(np.array([total ^ _U(len(words) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)]))[0])
+        total = (words * self._factors(len(words))).sum(dtype=np.uint64) if len(words) else _U(0)
+        return int(mixed(np.array([total ^ _U(len(words) * self.whole_key & (1 << 64) - 1)]))[0])
 
 
 FIRST, SECOND = Family(11), Family(23)
@@ -83,15 +101,7 @@ class Block:
 
     def hashes(self, family: Family, lower: bool) -> np.ndarray:
         """A 64-bit hash of each word; ``lower`` takes A-Z as a-z."""
-        lengths = self.ends - self.starts
-        if not len(lengths):
-            return np.empty(0, np.uint64)
-        first = np.cumsum(lengths) - lengths
-        offset = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
-        at = offset + np.repeat(self.starts, lengths)
-        values = (family.bytes[_LOWER] if lower else family.bytes)[self.data[at]]
-        values *= family.places_to(int(lengths.max()))[offset]
-        return mixed(np.add.reduceat(values, first))
+        return family.words(_LOWER[self.data] if lower else self.data, self.starts, self.ends)
 
 
 def blocks(texts: pa.Array) -> Iterator[Block]:

@@ -18,7 +18,7 @@ from tessera.llm.neardup import near_duplicates, op6_near_duplicates, set_hash,
 from tessera.llm.packing import Encoder, column_generation, op9_packing, pack, tokenizer_path, whole_patterns
 from tessera.llm.personal import KINDS, base_spans, find_personal, luhn, masked, op8_personal_data
 from tessera.llm.substrings import COVERS, cover, op10_substring_dedup, without_repeats
-from tessera.llm.words import FIRST, blocks
+from tessera.llm.words import FIRST, SECOND, blocks
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -47,6 +47,23 @@ def test_words_of_blocks():
     assert list(blocks(pa.array([], pa.string()))) == []
 
 
+#: Two words of 1,024 bytes that every polynomial hash modulo 2^64 with an odd base takes for equal.
+MORSE = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+ESROM = MORSE.translate(str.maketrans("ab", "ba"))
+
+
+def test_word_hashes_differ():
+    words = [MORSE, ESROM, *("a" * n for n in range(1, 40)), *("\0" * n for n in range(1, 20)), "abcdefgh", "abcdefghabcdefgh", "12345678abcdefgh", "abcdefgh12345678"]
+    for family in (FIRST, SECOND):
+        h = np.concatenate([b.hashes(family, False) for b in blocks(pa.array([" ".join(words)]))])
+        assert len(h) == len(words) == len(set(h.tolist()))
+        a, b = h[:2]
+        morse = np.array([a if c == "a" else b for c in MORSE])
+        esrom = np.array([a if c == "a" else b for c in ESROM])
+        assert family.runs(morse, 1024)[0] != family.runs(esrom, 1024)[0] and family.whole(morse) != family.whole(esrom)
+    assert len(FIRST.runs(h, 60)) == len(h) - 59
+
+
 # --- language ---------------------------------------------------------------------------------------------------------
 
 
@@ -129,11 +146,11 @@ def test_near_duplicates_of_large_groups(spark, monkeypatch):
 
 def test_near_duplicates_of_odd_rows(spark):
     pairs = [(5, "a b"), (3, "A  b"), (9, None), (8, ""), (8, " \n"), (None, "a b"), (None, None), (4, "a b c"), (7, "one two three four five six"),
-             (7, "one two three four five six"), (None, "only null here"), (20, "z " * 100_000), (21, "z " * 90_000)]
+             (7, "one two three four five six"), (None, "only null here"), (20, "z " * 100_000), (21, "z " * 90_000), (30, MORSE), (31, ESROM)]
     got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(odd(spark, pairs), "doc_id", "text").collect()]
     assert sorted(got, key=str) == sorted([
         (5, 1, 3, False), (3, 1, 3, True), (9, 0, 9, True), (8, 0, 8, True), (8, 0, 8, True), (None, 1, 3, False), (None, 0, None, True),
-        (4, 1, 4, True), (7, 2, 7, True), (7, 2, 7, True), (None, 1, None, True), (20, 1, 20, True), (21, 1, 20, False),
+        (4, 1, 4, True), (7, 2, 7, True), (7, 2, 7, True), (None, 1, None, True), (20, 1, 20, True), (21, 1, 20, False), (30, 1, 30, True), (31, 1, 31, True),
     ], key=str)
     assert near_duplicates(odd(spark, []), "doc_id", "text").collect() == []
 
@@ -328,6 +345,7 @@ def test_substring_of_odd_rows(spark, monkeypatch, window):
     rng = random.Random(window)
     shared = [f"s{i}" for i in range(window + 7)]
     pairs = [(1, None), (2, ""), (3, " \n"), (4, " ".join(shared[:window])), (5, " ".join(shared)), (5, " ".join(shared)), (None, "x " * 300), (None, "y")]
+    pairs += [(6 + k, " ".join([*(f"t{i}" for i in range(window - 1)), word])) for k, word in enumerate((MORSE, ESROM))]
     for i in range(40):
         w = [f"w{rng.randrange(30)}" for _ in range(rng.randrange(120))]
         at = rng.randrange(len(w) + 1)
