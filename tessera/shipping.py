@@ -8,9 +8,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of rows that go to a Python worker at once, unless the session says otherwise: long texts would else make batches
+#: of any size, which the executor holds outside its heap and the worker once more.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def on_workers(spark: SparkSession) -> None:
-    """Adds the package's files to the session's Python files, once; nothing if it came as such a file itself."""
+    """Bounds what Python workers get at once by bytes, and adds the package's files to the session's Python files, once;
+    no files if the package came as such a file itself."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     context, here = spark.sparkContext, Path(__file__).resolve().parent
     if getattr(context, "_tessera_added", False) or not here.is_dir():
         return
