@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -12,43 +12,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import table
+from tessera.llm.words import mixed
 from tessera.shipping import on_workers
 
-#: Dimensions of the vectors, letters of an n-gram, seed of the letters' vectors.
-DIMENSIONS, GRAM, SEED = 1024, 3, 42
+#: Dimensions of the vectors (a multiple of 64), letters of an n-gram (3 code points fill a 64-bit number).
+DIMENSIONS, GRAM = 1024, 3
 
-#: Letters up to here have vectors of their own; the others share the vectors above it.
-OWN_LETTERS, VECTORS = 0x250, 1024
+#: Fixed odd keys that a letter's code point and the number of a word of its vector are mixed with.
+_LETTER_KEY, _WORD_KEY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-#: Distinct n-grams that are bound at once.
-BOUND_AT_ONCE = 8192
+#: Letters up to here have their vectors made once, those of others are made as they come.
+READY_LETTERS = 0x250
+
+#: Bits of a code point in an n-gram's number.
+POINT_BITS = 21
+
+#: Distinct n-grams that are bound at once: 1 MB of products, 4 MB once they are added up.
+BOUND_AT_ONCE = 1024
 
 #: N-grams of one language that a task holds before it bundles them; sums below this are exact in single precision.
 HELD, EXACT = 200_000, 1 << 24
 
+#: Languages that may be learned: the driver and each task hold a vector of 8 KB for each.
+LANGUAGES = 4096
+
 UNKNOWN = "und"
 
 
 @cache
-def _letters() -> np.ndarray:
-    """For each code point the number of its vector, 0 if it is no letter."""
-    points = np.arange(0x110000)
-    is_letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    number = np.where(points < OWN_LETTERS, points + 1, OWN_LETTERS + 1 + points % (VECTORS - OWN_LETTERS - 1))
-    return np.where(is_letter, number, 0).astype(np.int32)
+def _is_letter() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-@cache
-def _vectors() -> tuple[np.ndarray, ...]:
-    """The random vectors (of 1 and -1) of the gap between words and of the letters, permuted for each place of an n-gram."""
-    made = np.random.default_rng(SEED).integers(0, 2, (VECTORS, DIMENSIONS), dtype=np.int8) * 2 - 1
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """The random vector (of 1 and -1) of each code point, from a hash of it; 0 stands for the gap between words."""
+    words = np.arange(1, DIMENSIONS // 64 + 1, dtype=np.uint64) * _WORD_KEY
+    bits = mixed(mixed(points.astype(np.uint64) * _LETTER_KEY + _LETTER_KEY)[:, None] ^ words)
+    return np.unpackbits(bits.astype("<u8").view(np.uint8), axis=1).astype(np.int8) * 2 - 1
+
+
+def _permuted(made: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Letters' vectors, permuted for each place of an n-gram."""
     return tuple(np.roll(made, GRAM - 1 - i, axis=1) for i in range(GRAM))
 
 
+@cache
+def _ready() -> tuple[np.ndarray, ...]:
+    return _permuted(letter_vectors(np.arange(READY_LETTERS)))
+
+
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of letters of a text (lower case, anything between letters is one gap) and their counts; none
     if it has no letter."""
-    letters = _letters()[np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = np.where(_is_letter()[points], points, 0)
     if not letters.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
     stay = letters != 0
@@ -57,7 +75,7 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     padded = padded[1:] if padded[1] == 0 else padded
     code = np.zeros(max(0, len(padded) - GRAM + 1), np.int64)
     for i in range(GRAM):
-        code = code * VECTORS + padded[i : i + len(code)]
+        code = code << POINT_BITS | padded[i : i + len(code)]
     return np.unique(code, return_counts=True)
 
 
@@ -68,10 +86,14 @@ def bundle(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     kind = np.float32 if counts.sum() < EXACT else np.float64
     for start in range(0, len(codes), BOUND_AT_ONCE):
         part = codes[start : start + BOUND_AT_ONCE]
-        bound = None
-        for i, vectors in enumerate(_vectors()):
-            letter = vectors[part // VECTORS ** (GRAM - 1 - i) % VECTORS]
-            bound = letter if bound is None else np.multiply(bound, letter, out=bound)
+        points = [part >> POINT_BITS * (GRAM - 1 - i) & (1 << POINT_BITS) - 1 for i in range(GRAM)]
+        tables = _ready()
+        if max(x.max() for x in points) >= READY_LETTERS:
+            others, places = np.unique(np.concatenate(points), return_inverse=True)
+            points, tables = np.split(places, GRAM), _permuted(letter_vectors(others))
+        bound = tables[0][points[0]]
+        for x, table_ in zip(points[1:], tables[1:], strict=True):
+            bound *= table_[x]
         total += counts[start : start + BOUND_AT_ONCE].astype(kind) @ bound.astype(kind)
     return total
 
@@ -107,37 +129,42 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(frame: DataFrame, text: str, lang: str) -> dict[str, np.ndarray]:
     """The unit profile of each language: the bundle of all its texts, whole. Rows without a language, and texts without
-    a letter, teach nothing. The driver gets one vector for each language, already added up."""
+    a letter, teach nothing. The driver gets one vector for each language, already added up; more than LANGUAGES of them
+    are an error."""
     on_workers(frame.sparkSession)
     labelled = frame.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     parts = labelled.mapInArrow(_learned, "lang string, total array<double>")
     sums = parts.select("lang", F.posexplode("total").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
-    rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v")).select("lang", "v.x").collect()
+    rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v")).select("lang", "v.x")
+    rows = rows.limit(LANGUAGES + 1).collect()
+    if len(rows) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} different languages in {lang}")
     profiles = {r["lang"]: np.array(r["x"]) for r in sorted(rows, key=lambda r: r["lang"])}
     return {k: v / np.linalg.norm(v) for k, v in profiles.items() if np.linalg.norm(v) > 0}
 
 
 def predict(
     frame: DataFrame, text: str, profiles: dict[str, np.ndarray], lang_out: str = "lang_pred", score_out: str = "score",
-    grams_out: str | None = None,
+    grams_out: str | None = None, carried: Sequence[str] | None = None,
 ) -> DataFrame:
     """Adds the language whose profile has the largest cosine with the text's bundle (ties to the smaller name), and that
     cosine, between 0 and 1. A null text, one without a letter, or no profile at all gives ``und`` and 0.
 
     ``grams_out`` names a column for the number of the text's distinct n-grams, which is not added without a name.
-    Nothing but the text decides. All columns of the input stay, in front; a column that has the name of an added one is
-    replaced. An empty table gives an empty result.
+    Nothing but the text decides. The columns named in ``carried`` (all of the input without it) stay, in front; a column
+    that has the name of an added one is replaced. An empty table gives an empty result.
     """
     on_workers(frame.sparkSession)
     names, matrix = list(profiles), np.stack(list(profiles.values())) if profiles else np.zeros((0, DIMENSIONS))
     added = [lang_out, score_out, *([grams_out] if grams_out else [])]
-    kept = [c for c in frame.columns if c.lower() not in [x.lower() for x in added]]
-    source = frame.select(*(frame[f"`{c}`"] for c in kept), frame[f"`{text}`"].alias("__text"))
+    kept = [c for c in (frame.columns if carried is None else carried) if c.lower() not in [x.lower() for x in added]]
+    source = frame.select(*(frame[f"`{c}`"] for c in kept), *([] if text in kept else [frame[f"`{text}`"].alias("__text")]))
+    at = kept.index(text) if text in kept else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, scores, sizes = [], [], []
-            for value in batch.column(batch.num_columns - 1):
+            for value in batch.column(at):
                 codes, counts = grams(value.as_py())
                 sizes.append(len(codes))
                 own = bundle(codes, counts)
@@ -151,7 +178,7 @@ def predict(
                 best = int(cosine.argmax())
                 found.append(names[best])
                 scores.append(float(min(1.0, max(0.0, cosine[best]))))
-            columns = [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())]
+            columns = [*batch.columns[: len(kept)], pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())]
             names_ = [*(f"c{i}" for i in range(len(kept))), "lang", "score", "grams"]
             yield pa.RecordBatch.from_arrays(columns[: len(kept) + len(added)], names=names_[: len(kept) + len(added)])
 
@@ -174,4 +201,4 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     profiles = learn(rows.where(remainder(F.col("doc_id")) != 2), "text", "lang")
     held = F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
-    return predict(rows.select("doc_id", held, "text"), "text", profiles).drop("text")
+    return predict(rows.select("doc_id", held, "text"), "text", profiles, carried=["doc_id", "held_out"])

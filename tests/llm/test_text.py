@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, components
-from tessera.llm.language import learn, op4_language_id, predict
+from tessera.llm.language import DIMENSIONS, learn, letter_vectors, op4_language_id, predict
 from tessera.llm.neardup import near_duplicates, op6_near_duplicates, set_hash, shingle_sets, signature
 from tessera.llm.packing import Encoder, column_generation, op9_packing, pack, tokenizer_path, whole_patterns
 from tessera.llm.personal import KINDS, base_spans, find_personal, luhn, masked, op8_personal_data
@@ -93,6 +93,43 @@ def test_language_of_odd_rows(spark):
     assert predict(frame.limit(0), "text", profiles).collect() == []
 
 
+def plain_bundle(text):
+    """The sum of products of permuted letter vectors, n-gram by n-gram."""
+    total = np.zeros(DIMENSIONS)
+    gapped = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    points = [0, *(x for w in gapped for x in (*map(ord, w), 0))] if gapped else []
+    for i in range(len(points) - 2):
+        total += np.prod([np.roll(letter_vectors(np.array([x]))[0].astype(int), 2 - k) for k, x in enumerate(points[i : i + 3])], axis=0)
+    return total
+
+
+def test_language_against_plain_python(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([
+        ("the cat and the hat", "en"), ("und der Hund", "de"), ("кот и пёс", "ru"), ("κότα", None), ("The Hat, 12 dogs!", None), ("漢字 かな", None), ("a", None), ("пёс Hund", None),
+        ("the", "xa"), ("the", "xb"),
+    ])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = learn(frame, "text", "lang")
+    want = {}
+    for _, t, lang in rows:
+        if lang:
+            want[lang] = want.get(lang, 0) + plain_bundle(t)
+    assert all(np.allclose(profiles[k], v / np.linalg.norm(v)) for k, v in want.items()) and profiles.keys() == want.keys()
+    for r in predict(frame, "text", profiles, carried=["doc_id"]).collect():
+        own = plain_bundle(rows[r["doc_id"]][1])
+        cosines = {k: own @ v / np.linalg.norm(own) / np.linalg.norm(v) for k, v in want.items()}
+        assert r["lang_pred"] == min(cosines, key=lambda k: (-round(cosines[k], 9), k)) and abs(r["score"] - max(0, *cosines.values())) < 1e-9
+    assert {r["lang_pred"] for r in predict(frame.where("doc_id >= 8"), "text", profiles).collect()} == {"xa"}  # a tie
+
+
+def test_more_languages_than_can_be_held(spark, monkeypatch):
+    import tessera.llm.language as m
+
+    monkeypatch.setattr(m, "LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more than 1 different"):
+        learn(spark.createDataFrame([("a b", "x"), ("a b", "y")], "text string, lang string"), "text", "lang")
+
+
 # --- near-duplicates --------------------------------------------------------------------------------------------------
 
 
