@@ -116,6 +116,8 @@ def components(scratch: Scratch, links: DataFrame, left: str, right: str) -> Dat
 
     Alternates large-star and small-star rounds (each joins a node's larger, then its smaller neighbours to the smallest
     of them) until no link changes. Each round is written to the shared folder; nothing but two sums goes to the driver.
+    So are the smallest neighbours: a node with very many neighbours then meets its own in a plain join of two tables,
+    which Spark splits where it is skewed.
     """
     edges = scratch.keep(
         links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct()
@@ -124,16 +126,17 @@ def components(scratch: Scratch, links: DataFrame, left: str, right: str) -> Dat
     mark = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(
+        smaller = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(smaller, "u").select(F.explode(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
         )).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = scratch.keep(small)
         scratch.drop(edges)
+        scratch.drop(least)
         edges = after
         now = tuple(edges.agg(F.count(F.lit(1)), total).first())
         if now == mark or now[0] == 0:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, components, table
@@ -25,6 +25,10 @@ LIST_ROWS, GROUP_SHINGLES = 2048, 1 << 20
 #: Lists up to this length are compared together with others.
 SHORT_LIST = 16
 
+#: Lists and groups of up to so many blocks have all pairs of their blocks compared. Longer ones are dealt anew in so many
+#: rounds at most, as long as each leaves at most this share of what was not joined before.
+DIRECT_BLOCKS, ROUNDS, GOES_ON = 4, 4, 0.5
+
 _SALT, _FACTOR = np.random.default_rng(7).integers(1, 1 << 63, (2, COORDINATES), dtype=np.uint64)
 _FACTOR |= np.uint64(1)
 
@@ -260,16 +264,63 @@ def _verified(percent: int):  # noqa: ANN202
     return run
 
 
-def _in_block_pairs(rows: DataFrame, key: str, blocks_column: str, payload: list[str]) -> DataFrame:
-    """Each row once for each pair of blocks of its key that its own block is in, sorted for ``_groups``."""
-    partner = F.explode(F.sequence(F.lit(0).cast("int"), (F.col(blocks_column) - 1).cast("int"))).alias("other")
-    spread = rows.select(key, "block", partner, *payload)
-    i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+def _dealt(rows: DataFrame, key: str, i: Column, j: Column, payload: list[str]) -> DataFrame:
+    """The rows by key and pair of blocks, sorted for the comparing functions."""
     keys = [key, "i", "j"]
-    dealt = spread.select(key, i, j, "block", *payload)
+    dealt = rows.select(key, i.cast("int").alias("i"), j.cast("int").alias("j"), F.col("block").cast("int").alias("block"), *payload)
     return dealt.repartition(*keys).sortWithinPartitions(*keys)
 
 
+def _linked(
+    scratch: Scratch, rows: DataFrame, key: str, bound: int, payload: list[str],
+    compare: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], sizes: DataFrame | None = None,
+) -> DataFrame:
+    """Links (a, b) that join all nodes of a key which ``compare`` finds linked, directly or by way of others; not all links.
+
+    ``rows`` has the key, ``node``, its ``weight``, the ``total`` weight of the key, and the payload. A key is cut into
+    blocks of about ``bound`` by a hash of the node. Blocks are compared within first, which is all for most keys. A key of a
+    few blocks then has all pairs of blocks compared. A larger one is dealt to other blocks and compared within them again,
+    which costs no more than its rows: nodes that are alike soon form one component, and pairs inside a component need not
+    be compared any more. What isn't in the key's largest component in the end is compared with everything, so no link
+    between components is missed. The cost is the square of a key's size only as far as its nodes are *not* joined.
+    ``sizes`` has the totals too, where ``rows`` is costly to make.
+    """
+    many = F.ceil(F.col("total") / bound)
+    place = lambda turn: F.pmod(F.xxhash64("node", F.lit(turn)), many).alias("block")
+    kept = [key, "node", "weight", "total", *(c for c in payload if c != "node")]
+    pairs = lambda dealt: scratch.keep(dealt.mapInArrow(compare, "a long, b long").distinct())
+    within = lambda part, turn: pairs(_dealt(part.select("*", place(turn)), key, F.col("block"), F.col("block"), payload))
+    links = within(rows.where("total > weight"), 0)
+    if (rows if sizes is None else sizes).where(F.col("total") > bound).isEmpty():
+        return links
+    large = scratch.keep(rows.where(F.col("total") > bound).select(*kept))
+    left, turn = None, 0
+    while True:
+        joined = components(scratch, links, "a", "b").withColumnRenamed("component", "__root")
+        named = scratch.keep(large.join(joined, "node", "left").select(*kept, F.coalesce("__root", "node").alias("label")))
+        parts = named.groupBy(key, "label").agg(F.sum("weight").alias("w"), F.first("total").alias("total"))
+        main = parts.groupBy(key).agg(
+            F.max_by("label", F.struct("w", "label")).alias("main"), F.max("w").alias("most"), F.count(F.lit(1)).alias("labels"), F.first("total").alias("all"),
+        ).where("labels > 1")
+        main = scratch.keep(main.select(key, "main", "most", (F.col("all") - F.col("most")).alias("rest"), (F.ceil(F.col("all") / bound) <= DIRECT_BLOCKS).alias("direct")))
+        rest = main.agg(F.sum(F.when(~F.col("direct"), F.col("rest")))).first()[0] or 0
+        open_ = named.join(main, key)
+        if rest == 0 or turn >= ROUNDS or (left is not None and rest > GOES_ON * left):
+            break
+        turn, left = turn + 1, rest
+        links = scratch.keep(links.union(within(open_.where(~F.col("direct")).select(*kept), turn)))
+        scratch.drop(named)
+        scratch.drop(main)
+    # blocks of the rest come first, those of the largest component after them
+    rests, mains = F.ceil(F.col("rest") / bound), F.ceil(F.col("most") / bound)
+    of_main = F.col("label") == F.col("main")
+    hashed = F.xxhash64("node", F.lit(turn))
+    block = F.when(of_main, rests + F.pmod(hashed, mains)).otherwise(F.pmod(hashed, rests))
+    others = F.sequence(F.lit(0).cast("long"), F.when(of_main, rests).otherwise(rests + mains) - 1)
+    crossed = open_.select("*", block.alias("block"), F.explode(others).alias("other"))
+    return links.union(pairs(_dealt(crossed, key, F.least("block", "other"), F.greatest("block", "other"), payload)))
+
+
 def near_duplicates(
     frame: DataFrame, id_column: str, text_column: str, percent: int = PERCENT, matches: int = MATCHES, by_print: bool = False,
 ) -> DataFrame:
@@ -282,7 +333,7 @@ def near_duplicates(
     order of rising frequency, only the first (others - matches + 1) are merged: two nodes with enough matches meet under
     one of these. The long lists after them are skipped, and their collisions counted on the signatures of nodes that
     met. Nodes that met with enough matches form groups, inside which links are confirmed on the full sets. Lists and
-    groups of any size are compared in pairs of bounded blocks, and only stars that span components leave a task: all
+    groups of any size are compared in bounded blocks (``_linked``), and only stars that span components leave a task: all
     links count, but no list of all pairs is made.
 
     Ids are whole numbers. A null or empty text has an empty set and no link. Rows with one id and one text share a group; a null id is larger
@@ -317,23 +368,18 @@ def near_duplicates(
     lists = scratch.keep(prefix.select("post", "node"))
     length = lists.groupBy("post").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     merged = lists.join(length, "post").join(nodes.select("node", "sig"), "node")
-    blocks_ = F.ceil(F.col("m") / LIST_ROWS)
-    merged = merged.withColumns({"blocks": blocks_, "block": F.pmod(F.xxhash64("node"), blocks_).cast("int")})
-    met = _in_block_pairs(merged, "post", "blocks", ["node", "sig"]).mapInArrow(_lists(matches), "a long, b long")
-    groups = scratch.keep(components(scratch, met.distinct(), "a", "b"))
+    merged = merged.withColumns({"weight": F.lit(1).cast("long"), "total": F.col("m")})
+    met = _linked(scratch, merged, "post", LIST_ROWS, ["node", "sig"], _lists(matches))
+    groups = scratch.keep(components(scratch, met, "a", "b"))
     scratch.drop(shared)
     scratch.drop(lists)
 
     members = scratch.keep(groups.join(nodes.select("node", "least", "print", "low", "n"), "node"))
-    size = members.groupBy("component").agg(F.sum("n").alias("s"))
-    blocks_ = F.ceil(F.col("s") / GROUP_SHINGLES)
-    members = members.join(size, "component").withColumns(
-        {"blocks": blocks_, "block": F.pmod(F.xxhash64("node"), blocks_).cast("int")}
-    )
-    members = scratch.keep(members.select("component", "node", "least", F.col("print").alias("its_print"), "low", "block", "blocks"))
+    size = members.groupBy("component").agg(F.sum("n").alias("total"))
+    members = members.join(size, "component")
+    members = scratch.keep(members.select("component", "node", "least", F.col("print").alias("its_print"), "low", F.col("n").alias("weight"), "total"))
     texts = rows.join(scratch.small(members), F.col("id").eqNullSafe(F.col("least")) & (F.col("print") == F.col("its_print")))
-    spread = _in_block_pairs(texts, "component", "blocks", ["node", "low", "text"])
-    links = spread.mapInArrow(_verified(percent), "a long, b long")
+    links = _linked(scratch, texts, "component", GROUP_SHINGLES, ["node", "low", "text"], _verified(percent), members)
     joined = components(scratch, links, "a", "b")
 
     roots = nodes.join(joined, "node", "left").select(
