@@ -17,6 +17,9 @@ DEFAULT_SHARED = "file:///tmp/checkpoints"
 #: A side of a join is broadcast only if its stored files are no larger than this.
 BROADCAST_BYTES = 8 << 20
 
+#: Fewer rows are not worth a shuffle to have more tasks.
+ROWS_WORTH_DEALING = 512
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of the given folder, only the named columns."""
@@ -83,6 +86,22 @@ class Scratch:
             pass
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """The frame, dealt to all cores where its files leave most of them idle.
+
+    Files with few or uneven row groups give few tasks that have rows. Only frames of a few partitions a core are looked
+    at, by counting their rows; larger ones keep all cores busy as they are.
+    """
+    context = frame.sparkSession.sparkContext
+    cores = context.defaultParallelism
+    if frame.select().rdd.getNumPartitions() > 4 * cores:
+        return frame
+    sizes = [r["count"] for r in frame.groupBy(F.spark_partition_id().alias("at")).count().collect()]
+    if sum(sizes) < ROWS_WORTH_DEALING or max(sizes) * cores <= 3 * sum(sizes):
+        return frame
+    return frame.repartition(2 * cores)
+
+
 def bucket(columns: Sequence[str | Column], count: int) -> Column:
     """A stable number from 0 to count - 1."""
     return F.pmod(F.xxhash64(*columns), F.lit(count)).cast("int")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.vectors import exact_top_k, nearest, one_bit_estimate, one_bit_index, op3_exact_top_k, op5_nearest_neighbours, rotation, threshold_scores, unit
+from tessera.llm.vectors import Best, depths, exact_top_k, nearest, one_bit_estimate, one_bit_index, op3_exact_top_k, op5_nearest_neighbours, rotation, threshold_search, unit
 
 SF = "/root/testdata/sf0.01"
 
@@ -33,13 +33,50 @@ def test_exact_query(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_threshold_with_ties(seed):
+@pytest.mark.parametrize("block", [40, 150, 300])
+def test_threshold_with_ties(seed, block):
+    """In blocks, whose best raise the bar of the next ones."""
     rng = np.random.default_rng(seed)
     vectors = rng.integers(-2, 3, (300, 5)).astype(float)
     ids = np.arange(300)
-    for query, (at, scores) in zip(range(20), threshold_scores(ids, vectors, ids[:20], vectors[:20], 7), strict=True):
+    best = Best(np.full(20, -np.inf), 7)
+    for start in range(0, 300, block):
+        at = slice(start, start + block)
+        threshold_search(ids[at], vectors[at], ids[:20], vectors[:20], best)
+    for query in range(20):
         all_ = sorted((-int(vectors[query] @ v), i) for i, v in enumerate(vectors) if i != query)[:7]
-        assert [(-int(s), int(i)) for i, s in zip(at, scores, strict=True)] == all_
+        assert [(-int(s), int(i)) for i, s in zip(best.ids[query], best.scores[query], strict=True)] == all_
+
+
+def test_threshold_stops_early():
+    """Where few components decide, few candidates are scored; the bound stops the reading."""
+    rng = np.random.default_rng(4)
+    vectors = np.floor(rng.standard_normal((5000, 6)) * [500, 300, 4, 2, 1, 1])
+    ids = np.arange(5000)
+    best = Best(np.full(50, -np.inf), 5)
+    scored = threshold_search(ids, vectors, ids[:50], vectors[:50], best)
+    assert scored < 0.5 * 50 * 5000 and list(depths(3)) == [3] and depths(1000)[-1] == 1000
+    for query in range(50):
+        assert sorted((-float(vectors[query] @ v), i) for i, v in enumerate(vectors) if i != query)[:5] == [(-s, i) for i, s in zip(best.ids[query], best.scores[query], strict=True)]
+
+
+def test_blocks_of_queries_and_candidates(spark):
+    """Many blocks of both, whose results are stored in between, give what one gives."""
+    import tessera.llm.vectors as m
+
+    rng = np.random.default_rng(2)
+    rows = [(int(i), rng.integers(-3, 4, 6 if i % 7 else 4).astype(float).tolist()) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    old, m.BLOCKS_AT_ONCE = m.BLOCKS_AT_ONCE, 2
+    try:
+        for search in (exact_top_k, nearest):
+            want, got = (sorted(map(tuple, search(frame, "vec_id", "embedding", F.col("vec_id") % 5 == 0, 4, **sizes).collect())) for sizes in ({}, {"candidates_per_block": 30, "numbers_per_query_block": 90}))
+            if search is exact_top_k:
+                assert got == want
+            else:
+                assert len(set(got) & set(want)) > 0.9 * len(want) == 0.9 * len(got)
+    finally:
+        m.BLOCKS_AT_ONCE = old
 
 
 def odd(spark):
