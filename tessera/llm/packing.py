@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import ceil
 from struct import pack as pack_ids
 from zlib import crc32
@@ -15,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, gapless, table
+from tessera.llm.common import Scratch, gapless, spread, table
+
+log = logging.getLogger(__name__)
 
 #: Tokens of a sequence, and the step to which lengths are rounded up for the linear program.
 CAPACITY, STEP = 2048, 4
@@ -30,10 +34,14 @@ TOLERANCE, PRICINGS = 1e-5, 400
 #: Patterns that enter the program from one pricing, at most.
 PATTERNS = 24
 
+#: How much more than in proportion to its size a piece is worth while the first patterns are priced: large pieces, which
+#: little else fits beside, go first.
+LARGE_FIRST = 0.01
+
 ROWS_PER_TASK = 2048
 
-#: Pieces of text whose ids a task remembers.
-REMEMBERED = 400_000
+#: Pieces of text whose ids a task remembers, and the longest that it does (some 30 MB in all).
+REMEMBERED, REMEMBERED_LENGTH = 1 << 17, 64
 
 #: Texts of these characters alone are split into the tokenizer's pieces here; lower case and normal form keep to them. Left
 #: out are what the tokenizer does not count as white space but ``re`` does, and what begins a special token.
@@ -43,6 +51,15 @@ _UNUSUAL = re.compile("[^\x00-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]|[\x
 _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
+#: How a tokenizer describes the normal form and the splitting that the above does, and how the special tokens
+#: begin that ``_UNUSUAL`` finds.
+_NORMAL_FORM = r'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])'
+_SPLITTING = (
+    r"""Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), """
+    "behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])"
+)
+_SPECIAL = "<|"
+
 #: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on, in order.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = dict(zip((b for b in range(256) if b not in _PRINTABLE), range(256, 512), strict=False))
@@ -57,7 +74,11 @@ class _Known(dict):
     def __missing__(self, piece: str) -> bytes:
         letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTES)
         found = [t.id for t in self.model.tokenize(letters)]
-        self[piece] = ids = pack_ids(f"<{len(found)}I", *found)
+        ids = pack_ids(f"<{len(found)}I", *found)
+        if len(piece) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
         return ids
 
 
@@ -66,7 +87,7 @@ class Encoder:
 
     The tokenizer works on pieces that have no influence on each other, so the ids of a text are those of its pieces one
     after another. The ids of pieces are remembered, up to a bound. A text with unusual characters goes to the tokenizer
-    whole.
+    whole, and so do all texts if the tokenizer's file has another normal form, splitting or kind of special tokens.
     """
 
     def __init__(self, path: str) -> None:
@@ -75,12 +96,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known = _Known(self.tokenizer.model)
+        special = all(t.content.startswith(_SPECIAL) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.by_pieces = special and repr(self.tokenizer.normalizer) == _NORMAL_FORM and repr(self.tokenizer.pre_tokenizer) == _SPLITTING
 
     def encode(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
+        if not self.by_pieces or _UNUSUAL.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         return b"".join(map(self.known.__getitem__, _PIECE.findall(text.lower())))
 
 
@@ -165,21 +186,64 @@ def first_fit(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tupl
     return out
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float = TOLERANCE) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often each is used, a solution of the linear program that covers the demand with the fewest
-    sequences, to within the tolerance of its bound.
+def start_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[np.ndarray], list[float], list[int]]:
+    """Patterns priced by the knapsack for the demand that is left, how often each is used (in fractions), and the size
+    that it uses up.
 
-    The revised simplex method starts from one-size patterns, to which those of first fit are offered, then patterns that
-    the knapsack prices. Patterns priced together enter one by one, as long as the prices that the earlier ones leave
-    still favour them.
+    Each pattern is the one of the largest value among the sizes left, and used until one of them is met. What later
+    patterns hold excludes that size, so the patterns are a basis: a triangular one, sizes that were met at once being
+    covered by patterns of their own that are not used.
     """
-    many = len(sizes)
-    patterns = [np.eye(many, dtype=np.int64)[k] * (capacity // sizes[k]) for k in range(many)]
-    inverse = np.diag(1.0 / np.array([p.max() for p in patterns])) if many else np.zeros((0, 0))
-    use = inverse @ demand.astype(float)
+    left = demand.astype(float)
+    patterns, use, met = [], [], []
+    while (left > 0).any():
+        at = np.flatnonzero(left > 0)
+        share = sizes[at] / capacity
+        _, priced = price(share * (1 + LARGE_FIRST * share), sizes[at], capacity, 1)
+        pattern = np.zeros(len(sizes), np.int64)
+        pattern[at] = priced[0]
+        held = np.flatnonzero(pattern)
+        times = left[held] / pattern[held]
+        left[held] = np.maximum(left[held] - times.min() * pattern[held], 0.0)
+        done = held[times <= times.min() * (1 + 1e-12)]
+        left[done] = 0.0
+        patterns.append(pattern)
+        use.append(float(times.min()))
+        met.append(int(done[0]))
+        for k in done[1:]:
+            patterns.append(np.eye(1, len(sizes), k, dtype=np.int64)[0] * (capacity // sizes[k]))
+            use.append(0.0)
+            met.append(int(k))
+    return patterns, use, met
+
 
-    def enter(offered: list[np.ndarray]) -> bool:
-        entered = False
+@dataclass
+class Program:
+    """Patterns and how often each is used; the number of pricings, and a bound that no packing is below."""
+
+    patterns: list[tuple[np.ndarray, float]]
+    pricings: int
+    bound: float
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float = TOLERANCE) -> Program:
+    """A solution of the linear program that covers the demand with the fewest sequences, to within the tolerance of its
+    bound.
+
+    All patterns are priced by the knapsack. Those that the program starts from are priced one after another for the
+    demand that the earlier ones leave (``start_patterns``); the revised simplex method then goes on from that basis with
+    patterns priced by its duals. Patterns priced together enter one by one, as long as the prices that the earlier ones
+    leave still favour them.
+    """
+    many = len(sizes)
+    patterns, first, met = start_patterns(sizes, demand, capacity)
+    pricings = sum(x > 0 for x in first)
+    order = np.argsort(met)
+    patterns = [patterns[k] for k in order]
+    use = np.array([first[k] for k in order])
+    inverse = np.linalg.inv(np.array(patterns, float).T) if many else np.zeros((0, 0))
+
+    def enter(offered: list[np.ndarray]) -> None:
         for pattern in offered:
             if inverse.sum(axis=0) @ pattern <= 1 + 1e-9:
                 continue
@@ -195,40 +259,41 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, tole
             inverse[:] = inverse - np.outer(step, row)
             inverse[out] = row
             patterns[out] = pattern
-            entered = True
-        return entered
 
     center = sizes / capacity  # feasible prices, whose total is a bound: no pattern is worth more than one sequence
     bound = float(center @ demand)
-    known = [p for p, _ in first_fit(sizes, demand, capacity)]
-    for _ in range(6):
-        if not enter(known):
-            break
     for _ in range(PRICINGS):
         now = inverse.sum(axis=0)
         if use.sum() <= bound + max(0.5, bound * tolerance):
             break
         smooth = 0.9 * center + 0.1 * now  # the simplex prices alone swing widely
         best, priced = price(smooth, sizes, capacity)
+        pricings += 1
         if not any(now @ p > 1 + 1e-9 for p in priced):
             smooth = now
             best, priced = price(smooth, sizes, capacity)
+            pricings += 1
             if best <= 1 + 1e-9:
+                bound = max(bound, float(use.sum()))
                 break
         if smooth.min() >= 0 and smooth @ demand / best > bound:
             center, bound = smooth / best, float(smooth @ demand / best)
         enter(priced)
-    return [(p, float(x)) for p, x in zip(patterns, use, strict=True) if x > 0]
+    return Program([(p, float(x)) for p, x in zip(patterns, use, strict=True) if x > 0], pricings, bound)
 
 
 def whole_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Patterns used whole numbers of times that hold exactly the demand: the program's, rounded down, then the rest by
-    first fit."""
+    """Patterns used whole numbers of times that hold exactly the demand: the program's, rounded down, then once more in
+    the order of what the rounding took, as far as the rest of the demand allows; what is left goes by first fit."""
     left = demand.copy()
     out: list[tuple[np.ndarray, int]] = []
-    for pattern, use in sorted(column_generation(sizes, demand, capacity), key=lambda x: -x[1]):
+    program = column_generation(sizes, demand, capacity)
+    log.info("packing program: %d patterns of %d sizes after %d knapsack pricings, bound %.1f", len(program.patterns), len(sizes), program.pricings, program.bound)
+    whole = [(pattern, int(use + 1e-6), use) for pattern, use in program.patterns]
+    rounded = [(p, n) for p, n, _ in sorted(whole, key=lambda x: -x[1])] + [(p, 1) for p, n, use in sorted(whole, key=lambda x: x[1] - x[2]) if use - n > 1e-6]
+    for pattern, times in rounded:
         held = pattern > 0
-        times = min(int(use + 1e-6), int((left[held] // pattern[held]).min()))
+        times = min(times, int((left[held] // pattern[held]).min()))  # noqa: PLW2901
         if times > 0:
             out.append((pattern, times))
             left -= times * pattern
@@ -293,4 +358,4 @@ def tokenizer_path() -> str:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
-    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", tokenizer_path())
+    return pack(spread(table(spark, sf_dir, "documents", "doc_id", "text")), "doc_id", "text", tokenizer_path())

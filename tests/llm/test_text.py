@@ -13,10 +13,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, components
-from tessera.llm.language import DIMENSIONS, learn, letter_vectors, op4_language_id, predict
+from tessera.llm.language import DIMENSIONS, learn, letter_bits, op4_language_id, predict, unpacked
 from tessera.llm.neardup import near_duplicates, op6_near_duplicates, set_hash, shingle_sets, signature
-from tessera.llm.packing import Encoder, column_generation, op9_packing, pack, tokenizer_path, whole_patterns
-from tessera.llm.personal import KINDS, base_spans, find_personal, luhn, masked, op8_personal_data
+from tessera.llm.packing import Encoder, column_generation, op9_packing, pack, price, tokenizer_path, whole_patterns
+from tessera.llm.personal import KINDS, base_spans, candidates, find_personal, luhn, masked, op8_personal_data, score_patterns
 from tessera.llm.substrings import COVERS, cover, op10_substring_dedup, without_repeats
 from tessera.llm.words import FIRST, SECOND, blocks
 
@@ -99,7 +99,7 @@ def plain_bundle(text):
     gapped = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
     points = [0, *(x for w in gapped for x in (*map(ord, w), 0))] if gapped else []
     for i in range(len(points) - 2):
-        total += np.prod([np.roll(letter_vectors(np.array([x]))[0].astype(int), 2 - k) for k, x in enumerate(points[i : i + 3])], axis=0)
+        total += np.prod([np.roll(1 - 2 * unpacked(letter_bits(np.array([x])))[0].astype(int), 64 * (2 - k)) for k, x in enumerate(points[i : i + 3])], axis=0)
     return total
 
 
@@ -279,6 +279,65 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert find_personal(odd(spark, []), "doc_id", "text").collect() == []
 
 
+def brute_patterns(edges, rounds, support, confidence):
+    """(context, kind) -> score of the trusted patterns; edges: context, value, kind of a base entity or -1, kinds it may be of."""
+    held = {}
+    for context, value, kind, may in edges:
+        for of in range(len(KINDS)):
+            if may >> of & 1:
+                own = held.setdefault((context, of), {})
+                own[value] = max(own.get(value, 0), int(kind == of))
+    worth, trusted = {}, {}
+    for _ in range(rounds):
+        value_of = lambda of, v, base: 1.0 if base else worth.get((of, v), 0.0)
+        scored = {k: [value_of(k[1], v, b) for v, b in own.items()] for k, own in held.items()}
+        trusted = {k: sum(w) / len(w) for k, w in scored.items() if sum(x >= 0.5 for x in w) >= support and sum(w) / len(w) >= min(0.7, confidence)}
+        miss = {}
+        for (context, of), own in held.items():
+            if (context, of) in trusted:
+                for v, base in own.items():
+                    if not base:
+                        miss[of, v] = miss.get((of, v), 1.0) * (1 - trusted[context, of])
+        worth = {k: 1 - m for k, m in miss.items()}
+    return {k: s for k, s in trusted.items() if s >= confidence}
+
+
+def test_discovered_values_seed_further_contexts(spark):
+    """Two hops: the second context never has a base entity; a third has too many strangers to be trusted."""
+    pairs = [(i, f"please call me +1 (578) 555-{1000 + i}") for i in range(40)] + [(100 + i, f"or call me 578 555 {2000 + i}") for i in range(8)]
+    pairs += [(200 + i, f"the number home 578 555 {2000 + i}") for i in range(8)] + [(210, "my number home 578 555 3000"), (211, "units sold 578 555 3000")]
+    pairs += [(300 + i, f"parts ordered 578 555 {2000 + i if i < 4 else 7000 + i}") for i in range(12)]
+    got = {r["doc_id"]: len(r["spans"]) - len(r["base"]) for r in find_personal(odd(spark, pairs), "doc_id", "text").collect()}
+    assert {i for i, n in got.items() if n} == {*range(100, 108), *range(200, 208), 210} and set(got.values()) == {0, 1}
+    one_hop = {r["doc_id"]: len(r["spans"]) - len(r["base"]) for r in find_personal(odd(spark, pairs), "doc_id", "text", rounds=1).collect()}
+    assert {i for i, n in one_hop.items() if n} == {*range(100, 108)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_patterns_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    edges = []
+    for _ in range(400):
+        kind = rng.choice([-1, -1, 0, 3])
+        value = rng.randrange(40) + 1000 * (kind + 1)
+        edges.append((f"c{rng.randrange(12)}", f"v{value}", kind, 1 << kind if kind >= 0 else (8, 9, 1)[value % 3]))
+    cues = spark.createDataFrame([(1, [(c, v, k, m, 0, 1) for c, v, k, m in edges])], "id int, cues array<struct<context string, value string, kind int, may int, start int, end int>>")
+    got = {(r["context"], r["of"]): r["score"] for r in score_patterns(Scratch(spark, "test"), cues, 50, 2, 0.3).collect()}
+    want = brute_patterns(edges, 50, 2, 0.3)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-2 for k in want) and want
+
+
+def test_candidates_among_many_spans():
+    text = " ".join(f"ip 10.0.{i // 256}.{i % 256} tel 555 {i:07d}" for i in range(20_000))
+    base = base_spans(text)
+    found = list(candidates(text, base))
+    assert len(base) == 20_000 and len(found) == 20_000 and all(text[a:b].startswith("555 ") for _, a, b in found)
+    overlapping = [(0, 5, 9), (1, 2, 20), (2, 25, 30)]
+    digits = "0123 567890 345678901 345678"
+    free = [(a, b) for _, a, b in candidates(digits, overlapping)]
+    assert all(not any(x < b and a < y for _, x, y in overlapping) for a, b in free)
+
+
 # --- packing ----------------------------------------------------------------------------------------------------------
 
 
@@ -292,6 +351,25 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_of_another_tokenizer():
+    """One with other splitting gets whole texts."""
+    import public_tokenizers
+
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert Encoder(tokenizer_path()).by_pieces and not e.by_pieces
+    for t in ("It's  one Text", "", "é\n\nx  y"):
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_encoder_forgets(monkeypatch):
+    import tessera.llm.packing as m
+
+    monkeypatch.setattr(m, "REMEMBERED", 10)
+    e = Encoder(tokenizer_path())
+    text = " ".join(f"w{i} {'long' * 30}" for i in range(50))
+    assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids and len(e.known) <= 10
+
+
 def check_packing(rows, ids, capacity):
     for r in rows:
         own = ids[r["doc_id"]]
@@ -337,10 +415,23 @@ def test_patterns_hold_the_demand(seed):
     sizes = np.unique(rng.integers(1, 101, 30))
     demand = rng.integers(1, 200, len(sizes))
     program = column_generation(sizes, demand, 100)
-    assert np.allclose(sum(p * x for p, x in program), demand) and all(p @ sizes <= 100 for p, _ in program)
+    total = sum(x for _, x in program.patterns)
+    assert np.allclose(sum(p * x for p, x in program.patterns), demand) and all(p @ sizes <= 100 for p, _ in program.patterns)
+    assert program.pricings > 0 and sizes @ demand / 100 <= program.bound <= total + 1e-6 <= program.bound + 0.5 + 1e-5 * total + 1e-6
     whole = whole_patterns(sizes, demand, 100)
     assert (sum(p * n for p, n in whole) == demand).all() and all(p @ sizes <= 100 and n > 0 for p, n in whole)
-    assert sum(n for _, n in whole) <= sum(x for _, x in program) * 1.02 + len(sizes)
+    assert sum(n for _, n in whole) <= total * 1.02 + len(sizes)
+
+
+def test_patterns_where_first_fit_wastes():
+    """Sizes of which no first pattern is full: the duals' prices have to find the mixture."""
+    sizes, demand = np.array([18, 34, 35, 45, 51]), np.array([500, 310, 640, 280, 410])
+    program = column_generation(sizes, demand, 100)
+    assert sum(x for _, x in program.patterns) <= program.bound + 0.5 + 1e-6
+    every = [np.array(x) for x in itertools.product(*(range(100 // s + 1) for s in sizes)) if 0 < np.array(x) @ sizes <= 100]
+    best, _ = price(sizes / 100, sizes, 100, 1)
+    assert abs(best - max(x @ sizes for x in every) / 100) < 1e-9
+    assert column_generation(sizes[:0], demand[:0], 100).patterns == [] and whole_patterns(sizes[:0], demand[:0], 100) == []
 
 
 # --- repeated passages ------------------------------------------------------------------------------------------------
