@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import table
+from tessera.llm.common import spread, table
 from tessera.llm.words import mixed
 from tessera.shipping import on_workers
 
@@ -27,8 +27,8 @@ READY_LETTERS = 0x250
 #: Bits of a code point in an n-gram's number.
 POINT_BITS = 21
 
-#: Distinct n-grams that are bound at once: 1 MB of products, 4 MB once they are added up.
-BOUND_AT_ONCE = 1024
+#: Distinct n-grams that are bound at once: 256 KB of bits, 1 MB as they are added up.
+BOUND_AT_ONCE = 256
 
 #: N-grams of one language that a task holds before it bundles them; sums below this are exact in single precision.
 HELD, EXACT = 200_000, 1 << 24
@@ -45,21 +45,25 @@ def _is_letter() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def letter_vectors(points: np.ndarray) -> np.ndarray:
-    """The random vector (of 1 and -1) of each code point, from a hash of it; 0 stands for the gap between words."""
+def letter_bits(points: np.ndarray) -> np.ndarray:
+    """The random vector of each code point, from a hash of it, as packed bits (1 stands for -1, 0 for 1); code point 0
+    stands for the gap between words."""
     words = np.arange(1, DIMENSIONS // 64 + 1, dtype=np.uint64) * _WORD_KEY
-    bits = mixed(mixed(points.astype(np.uint64) * _LETTER_KEY + _LETTER_KEY)[:, None] ^ words)
-    return np.unpackbits(bits.astype("<u8").view(np.uint8), axis=1).astype(np.int8) * 2 - 1
+    return mixed(mixed(points.astype(np.uint64) * _LETTER_KEY + _LETTER_KEY)[:, None] ^ words).astype("<u8")
+
+
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits.view(np.uint8), axis=1)
 
 
 def _permuted(made: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Letters' vectors, permuted for each place of an n-gram."""
+    """Letters' vectors, permuted for each place of an n-gram: rotated by 64 dimensions a place."""
     return tuple(np.roll(made, GRAM - 1 - i, axis=1) for i in range(GRAM))
 
 
 @cache
 def _ready() -> tuple[np.ndarray, ...]:
-    return _permuted(letter_vectors(np.arange(READY_LETTERS)))
+    return _permuted(letter_bits(np.arange(READY_LETTERS)))
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +84,9 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bundle(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The sum of the n-grams' vectors, each the product of its letters' permuted vectors, as often as it occurs. All sums
-    are whole numbers and exact, so their order doesn't matter."""
-    total = np.zeros(DIMENSIONS)
+    """The sum of the n-grams' vectors, each the product of its letters' permuted vectors (of packed bits: their exclusive
+    or), as often as it occurs. All sums are whole numbers and exact, so their order doesn't matter."""
+    minus = np.zeros(DIMENSIONS)
     kind = np.float32 if counts.sum() < EXACT else np.float64
     for start in range(0, len(codes), BOUND_AT_ONCE):
         part = codes[start : start + BOUND_AT_ONCE]
@@ -90,12 +94,12 @@ def bundle(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         tables = _ready()
         if max(x.max() for x in points) >= READY_LETTERS:
             others, places = np.unique(np.concatenate(points), return_inverse=True)
-            points, tables = np.split(places, GRAM), _permuted(letter_vectors(others))
+            points, tables = np.split(places, GRAM), _permuted(letter_bits(others))
         bound = tables[0][points[0]]
-        for x, table_ in zip(points[1:], tables[1:], strict=True):
-            bound *= table_[x]
-        total += counts[start : start + BOUND_AT_ONCE].astype(kind) @ bound.astype(kind)
-    return total
+        for x, bits in zip(points[1:], tables[1:], strict=True):
+            bound ^= bits[x]
+        minus += counts[start : start + BOUND_AT_ONCE].astype(kind) @ unpacked(bound).astype(kind)
+    return counts.sum() - 2.0 * minus
 
 
 def _added(pending: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -198,7 +202,7 @@ def remainder(doc_id: Column) -> Column:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, learned from all labelled ones that aren't held out. A null id is not held out, and
     its document not learned from."""
-    rows = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    rows = spread(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
     profiles = learn(rows.where(remainder(F.col("doc_id")) != 2), "text", "lang")
     held = F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
     return predict(rows.select("doc_id", held, "text"), "text", profiles, carried=["doc_id", "held_out"])
