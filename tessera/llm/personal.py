@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, table
+from tessera.llm.common import Scratch, spread, table
 
 #: In the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -33,8 +34,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Words before a span that make its pattern; characters in which they are looked for, and those allowed in between.
 CONTEXT_WORDS, CONTEXT_REACH, CONTEXT_GAP = 2, 96, 4
 
-#: Rounds of scoring; distinct values that a pattern needs to have seen; its least score.
-ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.8
+#: Rounds of scoring at most; distinct values that a pattern needs to have seen; its least score in the end, and while it
+#: lends worth to its values. Scoring ends once a round changes the sum of the scores by less than SETTLED.
+ROUNDS, SUPPORT, CONFIDENCE, LENDING, SETTLED = 8, 3, 0.8, 0.7, 1e-3
 
 
 def luhn(digits: str) -> bool:
@@ -93,10 +95,18 @@ def context(text: str, start: int) -> str | None:
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
     """(mask of the kinds it may be of, start, end) of possible identifiers that overlap no base span."""
-    held = sorted((a, b) for _, a, b in taken)
+    opens: list[int] = []
+    closes: list[int] = []
+    for start, end in sorted((a, b) for _, a, b in taken):  # spans of different kinds may overlap
+        if closes and start <= closes[-1]:
+            closes[-1] = max(closes[-1], end)
+        else:
+            opens.append(start)
+            closes.append(end)
 
     def free(start: int, end: int) -> bool:
-        return not any(a < end and start < b for a, b in held)
+        before = bisect_left(opens, end)
+        return before == 0 or closes[before - 1] <= start
 
     for m in _NUMBER.finditer(text):
         count = len(_digits(m[0]))
@@ -149,34 +159,41 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score_patterns(scratch: Scratch, scanned: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
-    """The patterns worth trusting: context, kind, score.
-
-    An edge joins a context with each distinct value seen after it. A base entity is worth 1 for its kind. A pattern (a
-    context for a kind) is worth the mean, over its values that may be of that kind, of their worth for it, and nothing with less than ``support`` values that
-    are worth half or more; a value found by no base pattern is worth 1 - product (1 - pattern) over the patterns that it
-    follows and can be of. Patterns and values are scored in turn, so a value that one pattern is sure of helps others.
+    """The patterns worth trusting: context, kind (``of``), score.
+
+    An edge joins a context with each distinct value seen after it, for each kind that the value may be of. A base entity
+    is worth 1 for its kind. A pattern (a context for a kind) scores the mean worth of its values, if at least ``support`` of
+    them are worth half or more. A value that no base pattern finds is worth 1 - product (1 - score) over the patterns that
+    it follows and that score LENDING or more. Patterns and values are scored in turn: what a pattern discovers counts for
+    the other contexts it is seen in, also those without a base entity, which score in turn and discover more. Scores only
+    grow, so they settle; patterns that reach ``confidence`` are trusted.
     """
     cue = F.explode("cues").alias("cue")
-    edges = scratch.keep(scanned.select(cue).select("cue.context", "cue.value", "cue.kind", "cue.may").distinct())
-    kind = F.explode(F.array(*(F.lit(k) for k in range(len(KINDS))))).alias("of")
-    fitting = edges.select("context", "value", "may", kind).where(F.col("may").bitwiseAND(F.expr("shiftleft(1, of)")) != 0)
-    counts = fitting.groupBy("context", "of").agg(F.countDistinct("value").alias("n"))
-    # only contexts that have a base entity, each once for every kind that it has
-    seeds = edges.where("kind >= 0").select("context", F.col("kind").alias("of"), "value", F.lit(1.0).alias("worth"))
-    unseen = edges.where("kind < 0").select("context", "value", "may", kind)
-    unseen = unseen.where(F.col("may").bitwiseAND(F.expr("shiftleft(1, of)")) != 0).select("context", "of", "value")
-    unseen = unseen.join(seeds.select("context", "of").distinct(), ["context", "of"])
-    known = seeds
-    patterns = None
-    for turn in range(rounds):
-        worth = known.groupBy("context", "of").agg(F.sum("worth").alias("sum"), F.count(F.when(F.col("worth") >= 0.5, 1)).alias("good"))
-        patterns = worth.where(F.col("good") >= support).join(counts, ["context", "of"]).select("context", "of", (F.col("sum") / F.col("n")).alias("score"))
-        patterns = scratch.keep(patterns)
-        if turn + 1 < rounds:
-            miss = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-12)))))
-            values = unseen.join(patterns, ["context", "of"]).groupBy("of", "value").agg((1 - miss).alias("worth"))
-            known = seeds.union(unseen.join(values, ["of", "value"]).select("context", "of", "value", "worth"))
-    return patterns.where(F.col("score") >= confidence)
+    kinds = F.array(*(F.lit(k) for k in range(len(KINDS))))
+    edges = scanned.select(cue).select("cue.context", "cue.value", F.explode(kinds).alias("of"), "cue.kind", "cue.may")
+    edges = edges.where(F.col("may").bitwiseAND(F.expr("shiftleft(1, of)")) != 0)
+    edges = scratch.keep(edges.groupBy("context", "of", "value").agg(F.max((F.col("kind") == F.col("of")).cast("int")).alias("base")))
+    # a context with fewer values than the support can't be trusted, whatever they are worth
+    counts = scratch.keep(edges.groupBy("context", "of").agg(F.count(F.lit(1)).alias("n"), F.sum("base").alias("seeds")).where(F.col("n") >= support))
+    unseen = scratch.keep(edges.where("base = 0").join(scratch.small(counts), ["context", "of"], "left_semi").select("context", "of", "value"))
+    lending = lambda scored: scratch.keep(
+        scored.where((F.col("good") >= support) & (F.col("score") >= min(LENDING, confidence))).select("context", "of", "score")
+    )
+    patterns = lending(counts.select("context", "of", F.col("seeds").alias("good"), (F.col("seeds") / F.col("n")).alias("score")))
+    total = 0.0
+    for _ in range(rounds - 1):
+        before, total = total, patterns.agg(F.sum("score")).first()[0] or 0.0
+        if total - before < SETTLED:
+            break
+        miss = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-12)))))
+        values = unseen.join(scratch.small(patterns), ["context", "of"]).groupBy("of", "value").agg((1 - miss).alias("worth"))
+        found = unseen.join(scratch.small(scratch.keep(values)), ["of", "value"]).groupBy("context", "of").agg(
+            F.sum("worth").alias("more"), F.count_if(F.col("worth") >= 0.5).alias("found")
+        )
+        more, found_ = F.coalesce("more", F.lit(0.0)), F.coalesce("found", F.lit(0))
+        scored = counts.join(scratch.small(scratch.keep(found)), ["context", "of"], "left")
+        patterns = lending(scored.select("context", "of", (F.col("seeds") + found_).alias("good"), ((F.col("seeds") + more) / F.col("n")).alias("score")))
+    return scratch.keep(patterns.where(F.col("score") >= confidence))
 
 
 def find_personal(
@@ -187,8 +204,9 @@ def find_personal(
     (kind as a number of KINDS, start, end), by kind, then start; and ``print``, a hash of the text.
 
     The base entities are the seeds. The two words before each make a lexical pattern; Spark scores the graph of patterns
-    and values over the whole corpus for a few rounds (``score_patterns``). A candidate that no base pattern finds, that
-    overlaps no base span and whose shape fits the kind, becomes a span where it follows a trusted pattern.
+    and values over the whole corpus in rounds (``score_patterns``), in which what trusted patterns discover makes further
+    patterns trusted. A candidate that no base pattern finds, that overlaps no base span and whose shape fits the kind,
+    becomes a span where it follows a trusted pattern.
 
     A null text is empty. Equal rows get equal spans; a null id is an id like any other. An empty table gives an empty
     result. Other columns are not carried.
@@ -199,7 +217,7 @@ def find_personal(
     scanned = scratch.keep(rows.mapInArrow(_scan, f"id {kind}, {_SCANNED}"))
     patterns = score_patterns(scratch, scanned, rounds, support, confidence)
     cues = scanned.select("id", "print", F.explode("cues").alias("cue")).select("id", "print", "cue.*").where("kind < 0")
-    fits = cues.join(patterns, "context").where(F.col("may").bitwiseAND(F.expr("shiftleft(1, of)")) != 0)
+    fits = cues.join(scratch.small(patterns), "context").where(F.col("may").bitwiseAND(F.expr("shiftleft(1, of)")) != 0)
     best = F.max_by("of", F.struct("score", -F.col("of"))).alias("kind")
     found = fits.groupBy("id", "print", "start", "end").agg(best)
     more = found.groupBy("id", "print").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
@@ -252,7 +270,7 @@ def _listed(spans: Column) -> Column:
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The personal data of all documents."""
-    found = find_personal(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    found = find_personal(spread(table(spark, sf_dir, "documents", "doc_id", "text")), "doc_id", "text")
     kinds = F.col("base.kind")
     counts = [F.size(F.filter(kinds, lambda kind: kind == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]  # noqa: B023  used at once
     return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
