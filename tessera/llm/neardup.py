@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, components, table
+from tessera.llm.common import Scratch, components, spread, table
 from tessera.llm.words import FIRST, SECOND, Family, blocks, mixed
 
 #: Words of a shingle; links need an intersection of at least PERCENT hundredths of the union (the stages' default is 80).
@@ -408,7 +408,7 @@ def near_duplicates(
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents that share at least 85 hundredths of their shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", percent=85, matches=36)
+    return near_duplicates(spread(table(spark, sf_dir, "documents", "doc_id", "text")), "doc_id", "text", percent=85, matches=36)
 
 
 OP6_SQL = r"""

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import spread, table
 from tessera.llm.words import FIRST, SECOND, blocks
 from tessera.shipping import on_workers
 
@@ -286,7 +286,7 @@ _EMPTY = pa.table({"bucket": pa.array([], pa.int32()), **{x: pa.array([], pa.bin
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words of repeated windows of 35 words."""
-    rows = table(spark, sf_dir, "documents", "doc_id", "text")
+    rows = spread(table(spark, sf_dir, "documents", "doc_id", "text"))
     return without_repeats(rows, "doc_id", "text").select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
     )
