@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import heapq
 import json
-from array import array
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
 from itertools import islice
 from math import ceil, gcd, lcm
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import BROADCAST_BYTES, Scratch, gapless, table
+from tessera.sources import files
 
 #: Rows of one source that are scheduled together.
 BLOCK_ROWS = 64
@@ -27,6 +26,9 @@ SMOOTHING = 0.85
 
 ROWS_PER_TASK = 2048
 
+#: Times that a row is repeated at once, and sources that a mix may have.
+TURNS_AT_ONCE, SOURCES = 64, 1 << 20
+
 
 def whole_parts(weights: Mapping[str, float], period: int) -> dict[str, int]:
     """Positive whole parts in proportion to the weights, which add up to the period (largest remainders first)."""
@@ -80,19 +82,17 @@ def pfair_period(parts: Mapping[str, int]) -> list[tuple[str, int]]:
     return list(islice(pfair(parts), sum(parts.values())))
 
 
-def _slots(parts: Mapping[str, int], end: int, at_once: int) -> Iterator[pa.Table]:
-    """The schedule's first slots, in lots."""
-    names = sorted(parts)
-    number = {s: i for i, s in enumerate(names)}
+def _slots(parts: Mapping[str, int], end: int, at_once: int, had: list[int]) -> Iterator[bytes]:
+    """The schedule's first slots as lines (slot, number of the source by name, its block), in lots; counts the blocks that
+    each source has had."""
+    number = {s: i for i, s in enumerate(sorted(parts))}
     schedule = pfair(parts)
     for start in range(0, end, at_once):
-        who, block = array("i"), array("q")
-        for s, j in islice(schedule, min(at_once, end - start)):
-            who.append(number[s])
-            block.append(j)
-        source = pa.DictionaryArray.from_arrays(pa.array(who, pa.int32()), pa.array(names, pa.string())).cast(pa.string())
-        slot = pa.array(range(start, start + len(who)), pa.int64())
-        yield pa.table({"__source": source, "__block_no": pa.array(block, pa.int64()), "__slot": slot})
+        lines = []
+        for slot, (s, j) in enumerate(islice(schedule, min(at_once, end - start)), start):
+            had[number[s]] += 1
+            lines.append(f"{slot},{number[s]},{j}\n")
+        yield "".join(lines).encode()
 
 
 def mix(
@@ -112,11 +112,18 @@ def mix(
     there beside the added one, and has to be renamed before or after to be selected by name or stored.
     Rows with a null source are a source of their own. ``weights`` must name every source with a positive weight, and may
     name others, which are ignored. Ties in ``order`` come in any order. An empty table gives an empty result.
-    The driver sees one count for each source and no rows. It makes the slots of the whole mix from the exact weights, so
-    no rounding adds up; ``period`` of them at a time are held and written to the shared folder.
+    The driver sees one count for each source, of which there may be SOURCES, and no rows. It makes the slots of the whole
+    mix from the exact weights, so no rounding adds up; ``period`` of them at a time are held, and written to the shared
+    folder as a file of lines that Spark reads. A row that comes very often is repeated in two steps, with a shuffle between
+    them.
     """
+    spark = frame.sparkSession
+    scratch = Scratch(spark, "mixing")
     named = frame.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-")))
-    counts = {r["__source"]: r["n"] for r in named.groupBy("__source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = named.groupBy("__source").agg(F.count(F.lit(1)).alias("n")).limit(SOURCES + 1).collect()
+    if len(counted) > SOURCES:
+        raise ValueError(f"more than {SOURCES} different sources")
+    counts = {r["__source"]: r["n"] for r in counted}
     if weights is None:
         wanted = {s: n**SMOOTHING for s, n in counts.items()}
     else:
@@ -124,38 +131,40 @@ def mix(
         if missing := sorted(s[1:] or "null" for s in counts if not given.get(s, 0) > 0):
             raise ValueError(f"no positive target weight for: {', '.join(missing)}")
         wanted = {s: given[s] for s in counts}
-    spark = frame.sparkSession
-    scratch = Scratch(spark, "mixing")
     parts = exact_parts(wanted) if counts else {}
+    whole = sum(parts.values())
     # the slot by which the last block that a source needs is due
-    end = max((-(-ceil(n / block_rows) * sum(parts.values()) // parts[s]) for s, n in counts.items()), default=0)
-    lots, had = [], dict.fromkeys(counts, 0)
-    for lot in _slots(parts, end, period):
-        lots.append(scratch.keep(spark.createDataFrame(lot)))
-        for r in lot.group_by("__source").aggregate([("__block_no", "count")]).to_pylist():
-            had[r["__source"]] += r["__block_no_count"]
-    if lots:
-        slots = lots[0]
-        for lot in lots[1:]:
-            slots = slots.union(lot)
-        slots = F.broadcast(slots) if sum(scratch.bytes(lot) for lot in lots) <= BROADCAST_BYTES else slots
-    else:
-        slots = spark.createDataFrame([], "__source string, __block_no bigint, __slot bigint")
-    plan = [{"__source": s, "__rows": n, "__total": had[s] * block_rows} for s, n in counts.items()]
-    schema = "array<struct<__source string, __rows bigint, __total bigint>>"
-    sources = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(plan)), schema)).alias("p")).select("p.*")
+    end = max((-(-ceil(n / block_rows) * whole // parts[s]) for s, n in counts.items()), default=0)
+    had = [0] * len(counts)
+    size = 0
+    for k, lot in enumerate(_slots(parts, end, period, had)):
+        files.write_bytes(spark, f"{scratch.root}/slots/{k}.csv", [lot])
+        size += len(lot)
+    plan = [{"__source": s, "__no": i, "__rows": counts[s], "__total": had[i] * block_rows} for i, s in enumerate(sorted(counts))]
+    lines = "".join(json.dumps(p) + "\n" for p in plan).encode()
+    files.write_bytes(spark, f"{scratch.root}/slots/{end}.csv", [b""])
+    files.write_bytes(spark, f"{scratch.root}/sources.json", [lines])
+    slots = spark.read.schema("__slot long, __no int, __block_no long").csv(f"{scratch.root}/slots")
+    sources = spark.read.schema("__source string, __no int, __rows long, __total long").json(f"{scratch.root}/sources.json")
+    small = lambda found, held: F.broadcast(found) if held <= BROADCAST_BYTES else found
     blocks = max(1, ceil(sum(counts.values()) / ROWS_PER_TASK))
-    ranked = gapless(named, ["__source"], order, "__rank", blocks)
-    turns = ranked.join(F.broadcast(sources), "__source").withColumn(
-        "__epoch", F.explode(F.sequence(F.lit(0), ((F.col("__total") - 1 - F.col("__rank")) / F.col("__rows")).cast("int")))
-    )
+    ranked = gapless(named, ["__source"], order, "__rank", blocks).join(small(sources, len(lines)), "__source")
+    last = F.floor((F.col("__total") - 1 - F.col("__rank")) / F.col("__rows")).cast("long")
+    turns = ranked.withColumn("__last", last).where("__last >= 0")
+    if max((p["__total"] // p["__rows"] for p in plan), default=0) > TURNS_AT_ONCE:
+        turns = turns.withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("__last") / TURNS_AT_ONCE))))
+        turns = turns.repartition("__source", "__rank", "__lot")
+    else:
+        turns = turns.withColumn("__lot", F.lit(0).cast("long"))
+    first = F.col("__lot") * TURNS_AT_ONCE
+    turns = turns.withColumn("__epoch", F.explode(F.sequence(first, F.least(F.col("__last"), first + TURNS_AT_ONCE - 1))))
     here = F.col("__rank") + F.col("__epoch") * F.col("__rows")
     placed = turns.withColumns({"__here": here, "__block_no": F.floor(here / block_rows).cast("long")})
     position = F.col("__slot") * block_rows + F.col("__here") % block_rows
     own = [F.col(f"`{c}`") for c in frame.columns]
     return (
-        placed.join(slots, ["__source", "__block_no"])
-        .select(*own, "__epoch", "__block_no", "__slot", position.cast("long"))
+        placed.join(small(slots, size), ["__no", "__block_no"])
+        .select(*own, F.col("__epoch").cast("int"), "__block_no", "__slot", position.cast("long"))
         .toDF(*frame.columns, "epoch", "block", "slot", "position")
     )
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.chat import PART, format_chat, op1_chat_formatting, read_back, text_part
-from tessera.llm.mixing import mix, op7_mixing, pfair_period, whole_parts
+from tessera.llm.mixing import exact_parts, mix, op7_mixing, pfair, pfair_period, whole_parts
 from tessera.llm.sharding import MULTIPLIER, WORD, jump_hash, op2_sharding, shard
 
 SF = "/root/testdata/sf0.001"
@@ -151,6 +151,34 @@ def test_mixing_of_odd_rows(spark):
     assert mix(frame.limit(0), "source", ["doc_id"]).collect() == []
 
 
+def test_a_row_that_comes_very_often(spark, monkeypatch):
+    """One row beside 2,000, at equal weights: repeated in two steps, every slot taken once."""
+    import tessera.llm.mixing as m
+
+    frame = spark.range(2000).selectExpr("id AS doc_id", "'big' AS source").union(spark.createDataFrame([(9999, "one")], "doc_id long, source string"))
+    got = mix(frame, "source", ["doc_id"], {"big": 1, "one": 1}, block_rows=4).collect()
+    assert sorted(r["position"] for r in got) == list(range(len(got))) and len(got) == 4000
+    once = [r for r in got if r["source"] == "one"]
+    assert len(once) == 2000 and sorted(r["epoch"] for r in once) == list(range(2000))
+    for t in range(1, 1001):  # a slot is a block of four
+        assert abs(sum(r["source"] == "one" and r["slot"] < t for r in got) / 4 - t / 2) < 1
+    monkeypatch.setattr(m, "SOURCES", 1)
+    with pytest.raises(ValueError, match="more than 1 different sources"):
+        mix(frame, "source", ["doc_id"])
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 1, "b": 1e-6}])
+def test_schedule_keeps_the_given_weights(weights):
+    """No rounding adds up over many slots."""
+    parts, done = exact_parts(weights), Counter()
+    total = sum(weights.values())
+    for t, (s, j) in zip(range(1, 100_001), pfair(parts)):
+        assert done[s] == j
+        done[s] += 1
+        if t % 997 == 0 or t < 50:
+            assert all(abs(done[x] - t * w / total) < 1 for x, w in weights.items())
+
+
 def test_own_columns_stay_beside_added_ones(spark):
     frame = spark.createDataFrame([(i, "ab"[i % 2], -i, f"b{i}", -2 * i, f"e{i}") for i in range(1, 31)], "doc_id long, source string, slot int, Block string, POSITION long, epoch string")
     mixed = mix(frame, "source", ["doc_id"], block_rows=4)
