@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -31,34 +33,94 @@ class LinearModel:
         return total
 
 
-def _moments(features: Sequence[str], label: str) -> list[Column]:
-    """Sums of products of (1, features, label), upper triangle."""
-    values = [F.lit(1.0), *(F.col(c).cast("double") for c in features), F.col(label).cast("double")]
-    return [F.sum(values[i] * values[j]).alias(f"m_{i}_{j}") for i in range(len(values)) for j in range(i, len(values))]
+@dataclass(frozen=True)
+class Moments:
+    """Rows, means, and sums of products of deviations from the means, of features and label (last)."""
+
+    rows: int
+    means: np.ndarray
+    products: np.ndarray
+
+    def __add__(self, other: Moments) -> Moments:
+        """Those of both tables together."""
+        if not self.rows or not other.rows:
+            return self if self.rows else other
+        rows = self.rows + other.rows
+        apart = other.means - self.means
+        products = self.products + other.products + np.outer(apart, apart) * (self.rows * other.rows / rows)
+        return Moments(rows, self.means + apart * (other.rows / rows), products)
+
+
+def _moment_columns(features: Sequence[str], label: str) -> list[Column]:
+    """Aggregates for ``_moments``. Each deviates from its own mean and is merged so, hence features far from zero lose no
+    digits, as sums of their squares would."""
+    values = [*(F.col(c).cast("double") for c in features), F.col(label).cast("double")]
+    pairs = [(i, j) for i in range(len(values)) for j in range(i, len(values))]
+    return [
+        F.count(F.lit(1)).alias("rows"), *(F.avg(v).alias(f"mean_{i}") for i, v in enumerate(values)),
+        *(F.covar_pop(values[i], values[j]).alias(f"covar_{i}_{j}") for i, j in pairs),
+    ]
 
 
-def _solve(row: dict, features: Sequence[str]) -> LinearModel:
-    n = len(features) + 2
-    gram = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i, n):
-            gram[i, j] = gram[j, i] = row[f"m_{i}_{j}"] or 0.0
-    if gram[0, 0] == 0:
+def _moments(row: Mapping[str, object], many: int) -> Moments:
+    products = np.zeros((many, many))
+    for i in range(many):
+        for j in range(i, many):
+            products[i, j] = products[j, i] = (row[f"covar_{i}_{j}"] or 0.0) * row["rows"]
+    return Moments(row["rows"], np.array([row[f"mean_{i}"] or 0.0 for i in range(many)], float), products)
+
+
+def _solve(found: Moments, features: Sequence[str]) -> LinearModel:
+    if not found.rows:
         raise ValueError("no rows to fit")
-    # centred and scaled before solving, which keeps the normal equations well conditioned
-    mean = gram[0] / gram[0, 0]
-    centred = gram[1:, 1:] - gram[0, 0] * np.outer(mean[1:], mean[1:])
-    scale = np.sqrt(np.maximum(np.diag(centred)[:-1], 0.0))
+    scale = np.sqrt(np.maximum(np.diag(found.products)[:-1], 0.0))
     scale[scale == 0] = 1.0
-    slopes = np.linalg.lstsq(centred[:-1, :-1] / np.outer(scale, scale), centred[:-1, -1] / scale, rcond=1e-12)[0] / scale
-    intercept = mean[-1] - float(mean[1:-1] @ slopes)
+    scaled = found.products[:-1, :-1] / np.outer(scale, scale)
+    slopes = np.linalg.lstsq(scaled, found.products[:-1, -1] / scale, rcond=1e-12)[0] / scale
+    intercept = found.means[-1] - float(found.means[:-1] @ slopes)
     return LinearModel(float(intercept), tuple(map(float, slopes)), tuple(features))
 
 
 def least_squares(frame: DataFrame, features: Sequence[str], label: str) -> LinearModel:
     """Ordinary least squares with an intercept, from one aggregate; rows with a null are left out."""
     complete = frame.dropna(subset=[*features, label])
-    return _solve(complete.agg(*_moments(features, label)).first().asDict(), features)
+    row = complete.agg(*_moment_columns(features, label)).first().asDict()
+    return _solve(_moments(row, len(features) + 1), features)
+
+
+def gradient_descent(
+    frame: DataFrame, features: Sequence[str], label: str, epochs: int = 100, rate: float = 0.5, least_change: float = 1e-9
+) -> LinearModel:
+    """Least squares by gradient descent over standardised features: each epoch sums the gradient of all rows in one
+    aggregate and moves against it. It ends early once no weight moves by ``least_change``. Rows with a null are left out.
+
+    Where the rows fit one machine an online method takes one row at a time; here the rows of an epoch are taken together,
+    so the result depends neither on their order nor on the partitions. It comes near ``least_squares``, which needs no
+    epochs.
+    """
+    complete = frame.dropna(subset=[*features, label])
+    names = [*features, label]
+    row = complete.agg(
+        F.count(F.lit(1)).alias("rows"), *(F.avg(F.col(c).cast("double")).alias(f"mean_{i}") for i, c in enumerate(names)),
+        *(F.stddev_pop(F.col(c).cast("double")).alias(f"deviation_{i}") for i, c in enumerate(names)),
+    ).first()
+    if not row["rows"]:
+        raise ValueError("no rows to fit")
+    means, deviations = (np.array([row[f"{x}_{i}"] for i in range(len(names))], float) for x in ("mean", "deviation"))
+    deviations[deviations == 0] = 1.0
+    scaled = [(F.col(c).cast("double") - F.lit(float(m))) / F.lit(float(d)) for c, m, d in zip(names, means, deviations, strict=True)]
+    weights = np.zeros(len(features))
+    step = rate / max(1, len(features))
+    for _ in range(epochs):
+        error = reduce(add, (F.lit(float(w)) * x for w, x in zip(weights, scaled, strict=False)), F.lit(0.0)) - scaled[-1]
+        gradient = complete.agg(*(F.avg(error * x).alias(f"g_{i}") for i, x in enumerate(scaled[:-1]))).first()
+        move = step * np.array(gradient, float)
+        weights -= move
+        if np.abs(move).max(initial=0.0) < least_change:
+            break
+    slopes = weights * deviations[-1] / deviations[:-1]
+    intercept = means[-1] - float(means[:-1] @ slopes)
+    return LinearModel(float(intercept), tuple(map(float, slopes)), tuple(features))
 
 
 def metric_columns(actual: Column, predicted: Column, mean: float) -> list[Column]:
@@ -86,21 +148,20 @@ def evaluate(frame: DataFrame, model: LinearModel, label: str) -> DataFrame:
 def cross_validate(frame: DataFrame, key: str, features: Sequence[str], label: str, folds: int, seed: int) -> DataFrame:
     """Metrics of each fold (``fold`` from 0), its model fitted on the other folds.
 
-    One pass sums the moments by fold; the sums of the other folds are the total less the fold's own. A second pass scores
+    One pass takes the moments by fold; a fold's model comes from those of the other folds together. A second pass scores
     every row with its fold's model.
     """
     if not 2 <= folds <= 100:
         raise ValueError("folds must be from 2 to 100")
     parted = frame.dropna(subset=[*features, label]).withColumn("fold", fold_of(seed, F.col(key), folds))
-    sums = {r["fold"]: r.asDict() for r in parted.groupBy("fold").agg(*_moments(features, label)).collect()}
-    names = [c for c in next(iter(sums.values()), {}) if c != "fold"]
-    total = {c: sum(s[c] for s in sums.values()) for c in names}
+    rows = parted.groupBy("fold").agg(*_moment_columns(features, label)).collect()
+    found = {r["fold"]: _moments(r.asDict(), len(features) + 1) for r in sorted(rows, key=lambda r: r["fold"])}
+    none = Moments(0, np.zeros(len(features) + 1), np.zeros((len(features) + 1,) * 2))
     prediction, mean = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for fold, own in sums.items():
-        model = _solve({c: total[c] - own[c] for c in names}, features)
+    for fold, own in found.items():
+        model = _solve(reduce(add, (m for f, m in found.items() if f != fold), none), features)
         prediction = F.when(F.col("fold") == fold, model.predict()).otherwise(prediction)
-        last = len(features) + 1
-        mean = F.when(F.col("fold") == fold, F.lit(own[f"m_0_{last}"] / own["m_0_0"])).otherwise(mean)
+        mean = F.when(F.col("fold") == fold, F.lit(float(own.means[-1]))).otherwise(mean)
     scored = parted.select("fold", F.col(label).cast("double").alias("y"), prediction.alias("p"), mean.alias("m"))
     error, spread = F.col("y") - F.col("p"), F.col("y") - F.col("m")
     return scored.groupBy("fold").agg(

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera import storage
 from tessera.functions import approx_equal, is_blank
 
 
@@ -27,11 +29,12 @@ def chain_join(first: DataFrame, *steps: tuple[DataFrame, str, str]) -> DataFram
     return first
 
 
-def assert_unique(frame: DataFrame, key: Column, what: str) -> None:
-    """Raises if two rows share a key."""
-    twice = frame.groupBy(key.alias("key")).count().where("count > 1").select("key").take(1)
+def assert_unique(key: Column, **tables: DataFrame) -> None:
+    """Raises if two rows of one of the tables share a key; all tables are looked at in one shuffle of their keys."""
+    keys = reduce(DataFrame.union, (t.select(key.alias("key"), F.lit(name).alias("table")) for name, t in tables.items()))
+    twice = keys.groupBy("key", "table").count().where("count > 1").take(1)
     if twice:
-        raise ValueError(f"{what}: the key {twice[0]['key']!r} occurs more than once")
+        raise ValueError(f"{twice[0]['table']} table: the key {twice[0]['key']!r} occurs more than once")
 
 
 def reconcile(
@@ -42,8 +45,7 @@ def reconcile(
     ``<column>_ok`` for each compared column and ``all_ok``."""
     own = F.coalesce(F.col(key).cast("string"), F.lit(""))
     if check_keys:
-        assert_unique(left, own, "left table")
-        assert_unique(right, own, "right table")
+        assert_unique(own, left=left, right=right)
     a = left.select(own.alias("key"), *(F.col(c).alias(f"__l_{c}") for c in (*numeric, *exact)))
     b = right.select(own.alias("key"), *(F.col(c).alias(f"__r_{c}") for c in (*numeric, *exact)))
     checks = {c: approx_equal(F.col(f"__l_{c}"), F.col(f"__r_{c}"), tolerance) for c in numeric}
@@ -82,8 +84,23 @@ def take(frame: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
 
 
 def skip(frame: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
-    """The rows after the first n in a total order."""
-    return frame.orderBy(*order).offset(n)
+    """The rows after the first n in a total order, in that order.
+
+    The sorted rows are stored with their numbers of partition and row, so that the place where the rest begins follows
+    from the partitions' sizes; ``offset`` would send all rows through one task.
+    """
+    spark = frame.sparkSession
+    place = "__place"
+    ranked = frame.orderBy(*order).withColumn(place, F.monotonically_increasing_id())
+    ranked = storage.stored(ranked, storage.new_folder(spark, "skip"))
+    part = F.shiftright(place, 33)
+    sizes = {r["part"]: r["n"] for r in ranked.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    left = n
+    for number in sorted(sizes):
+        if sizes[number] > left:
+            return ranked.where(F.col(place) >= (number << 33) + left).orderBy(place).drop(place)
+        left -= sizes[number]
+    return ranked.limit(0).drop(place)
 
 
 def single(frame: DataFrame):  # noqa: ANN201
@@ -105,10 +122,11 @@ def seeded_rank(seed: int, key: Column) -> Column:
 
 
 def split(frame: DataFrame, key: str, test_share: float, seed: int) -> DataFrame:
-    """Adds ``is_test``: exactly floor(rows * share) rows, those last in the seeded order of the unique key.
+    """Adds ``is_test``: exactly floor(rows * share) rows, those last in the seeded order of the key.
 
     The order is cut at a threshold found by a count of the leading digits of the digest, so no task sorts all rows: only
-    the rows that share the digits of the cut are ranked.
+    the rows that share the digits of the cut are ranked. Of rows with the key of the cut, as many as are needed are taken,
+    by their other columns.
     """
     total = frame.count()
     wanted = int(total * test_share)
@@ -125,8 +143,14 @@ def split(frame: DataFrame, key: str, test_share: float, seed: int) -> DataFrame
     if edge is None or wanted == 0:
         return marked.withColumn("is_test", F.lit(False)).drop("__digest")
     at_edge = marked.where(prefix == edge).select("__digest").orderBy(F.col("__digest").desc()).limit(wanted - after)
-    least = at_edge.agg(F.min("__digest")).first()[0]
-    return marked.withColumn("is_test", F.col("__digest") >= least).drop("__digest")
+    cut = at_edge.agg(F.min("__digest").alias("least"), F.count(F.lit(1)).alias("n")).first()
+    least, own = cut["least"], at_edge.where(F.col("__digest") == cut["least"]).count()
+    if marked.where(F.col("__digest") == least).count() == own:
+        return marked.withColumn("is_test", F.col("__digest") >= least).drop("__digest")
+    tied = Window.partitionBy("__digest").orderBy(*(F.col(f"`{f.name}`") for f in frame.schema if f.dataType.typeName() not in ("map", "variant")))
+    apart = marked.where(F.col("__digest") != least).withColumn("is_test", F.col("__digest") > least)
+    equal = marked.where(F.col("__digest") == least).withColumn("is_test", F.row_number().over(tied) <= own)
+    return apart.unionByName(equal).drop("__digest")
 
 
 def fold_of(seed: int, key: Column, folds: int) -> Column:
@@ -175,6 +199,54 @@ def lookup(frame: DataFrame, key: str, value: str, out: str = "values") -> DataF
     return frame.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias(out))
 
 
+def feature_vector(frame: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
+    """Adds an array of the named columns as doubles, in their order; a null is a null in it."""
+    return frame.withColumn(out, F.array(*(F.col(c).cast("double") for c in columns)))
+
+
+def vector_columns(frame: DataFrame, vector: str, names: Sequence[str]) -> DataFrame:
+    """The items of an array column as columns, in the place of the array."""
+    kept = [F.col(f"`{c}`") for c in frame.columns if c != vector]
+    return frame.select(*kept, *(F.get(F.col(vector), F.lit(i)).alias(n) for i, n in enumerate(names)))
+
+
+def summary(frame: DataFrame, value: str) -> DataFrame:
+    """One row: count of all rows, least, largest, mean and population deviation of a value (of no rows nulls and 0)."""
+    v = F.col(value)
+    return frame.agg(
+        F.count(F.lit(1)).alias("n"), F.min(v).alias("least"), F.max(v).alias("largest"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("deviation")
+    )
+
+
+def flatten(frame: DataFrame, values: str, out: str) -> DataFrame:
+    """One row for each item of an array column, which is replaced by the item; rows without items give none."""
+    kept = [F.col(f"`{c}`") for c in frame.columns if c != values]
+    return frame.select(*kept, F.explode(values).alias(out))
+
+
+def group_join(left: DataFrame, right: DataFrame, key: str, **aggregates: Column) -> DataFrame:
+    """Each row of the left table with aggregates of the right rows of its key (null where there are none). The right table
+    is reduced to a row for each key before it is joined."""
+    return left.join(right.groupBy(key).agg(*(v.alias(k) for k, v in aggregates.items())), key, "left")
+
+
+def chunked(frame: DataFrame, size: int, group: str, order: Sequence[str], out: str = "chunk") -> DataFrame:
+    """Adds the number, from 0, of the chunk of ``size`` rows that a row is in, in its group's total order. A group is
+    ranked by one task."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
+    return frame.withColumn(out, F.floor(place / size).cast("long"))
+
+
+def union_distinct(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """The distinct rows of all tables (by position)."""
+    return reduce(DataFrame.union, others, first).distinct()
+
+
+def concatenated(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """All rows of all tables, by column name."""
+    return reduce(DataFrame.unionByName, others, first)
+
+
 def any_all(frame: DataFrame, predicate: Column) -> DataFrame:
     """One row: whether any row, and whether every row, meets the predicate (null does not); of no rows false and true."""
     met = F.coalesce(predicate, F.lit(False))

@@ -94,3 +94,76 @@ def test_while_and_any_of_odd_rows(spark):
     assert tables.take_while(rows, F.col("k") < 9, ["k"]).count() == 3 and tables.skip_while(rows, F.col("k") < 9, ["k"]).count() == 0
     assert tuple(tables.any_all(rows, F.col("v") > 4).first()) == (True, False) and tuple(tables.any_all(rows.limit(0), F.col("v") > 4).first()) == (False, True)
     assert tuple(tables.extremes_by(rows.withColumn("g", F.lit(1)), "g", "k", ["v", "k"]).first()) == (1, 2, 3)
+
+
+def _png_pixel(png, width, x, y):
+    import struct
+    import zlib
+
+    at, body = 8, b""
+    while at < len(png):
+        size = struct.unpack(">I", png[at : at + 4])[0]
+        if png[at + 4 : at + 8] == b"IDAT":
+            body += png[at + 8 : at + 8 + size]
+        at += 12 + size
+    raw = zlib.decompress(body)
+    start = y * (width * 3 + 1) + 1 + x * 3
+    return tuple(raw[start : start + 3])
+
+
+def test_pictures_have_text_and_negative_columns_below_zero(spark):
+    rows = spark.createDataFrame([("up", 2.0), ("down", -2.0)], "k string, v double")
+    png = reporting.chart_png(reporting.column_chart(rows, "k", "v", "Title"), 240, 240)
+    blue = reporting.SERIES[0]
+    # the columns' middles: above the zero line for the first, below for the second
+    assert _png_pixel(png, 240, 70, 70) == blue != _png_pixel(png, 240, 70, 170)
+    assert _png_pixel(png, 240, 170, 170) == blue != _png_pixel(png, 240, 170, 70)
+    assert any(_png_pixel(png, 240, x, 9) == reporting.INK for x in range(60, 180))
+    curve = spark.range(11).selectExpr("cast(id as double) x", "cast(id as double) density")
+    with pytest.raises(ValueError, match="more than 10"):
+        reporting.curve_chart(curve, [], [], limit=10)
+    grid = reporting.heat_map([[1.0, 2.0], [3.0, 4.0]], ["a", "b"], ["c", "d"])
+    assert reporting.chart_png(grid).startswith(b"\x89PNG") and reporting.chart_png(reporting.curve_chart(curve, [(1.0, 0.0)], [("m", 2.0)])).startswith(b"\x89PNG")
+
+
+def test_fits_of_features_far_from_zero(spark):
+    rows = spark.range(2000).select((F.lit(1.7e9) + F.rand(1)).alias("x"), F.randn(2).alias("z"), F.col("id")).withColumn("y", 3 * (F.col("x") - 1.7e9) + 0.5 * F.col("z") + 1)
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    model = models.least_squares(rows, ["x", "z"], "y")
+    assert abs(model.coefficients[0] - 3) < 1e-4 and abs(model.coefficients[1] - 0.5) < 1e-6
+    folds = models.cross_validate(rows, "id", ["x", "z"], "y", 4, 42).collect()
+    assert len(folds) == 4 and all(r["r2_score"] > 0.999999 for r in folds)
+    near = models.gradient_descent(rows, ["x", "z"], "y", 200)
+    assert abs(near.coefficients[0] - 3) < 1e-3 and abs(near.coefficients[1] - 0.5) < 1e-3
+    with pytest.raises(ValueError, match="no rows"):
+        models.gradient_descent(rows.limit(0), ["x"], "y")
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 499, 500, 900])
+def test_skip_is_spread(spark, n):
+    rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), (F.col("id") % 3).alias("g")).repartition(6)
+    got = tables.skip(rows, n, [F.col("g").desc(), "k"])
+    want = sorted(((r["g"], r["k"]) for r in rows.collect()), key=lambda r: (-r[0], r[1]))[n:]
+    assert [(r["g"], r["k"]) for r in got.collect()] == want
+    assert "SinglePartition" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_split_of_repeated_keys_is_exact(spark):
+    rows = spark.createDataFrame([(i % 3, i) for i in range(100)], "k long, v long")
+    for share in (0.0, 0.1, 0.37, 0.5, 1.0):
+        marked = tables.split(rows, "k", share, 42)
+        assert marked.where("is_test").count() == int(100 * share) and marked.count() == 100
+        assert sorted(r["v"] for r in marked.collect()) == list(range(100))
+
+
+def test_small_operators(spark):
+    rows = spark.createDataFrame([(1, 2.5, ["a", "b"]), (2, None, []), (None, -1.0, None)], "k long, v double, xs array<string>")
+    vectors = tables.feature_vector(rows, ["k", "v"], "f")
+    assert [r["f"] for r in vectors.orderBy("k").collect()] == [[None, -1.0], [1.0, 2.5], [2.0, None]]
+    assert tables.vector_columns(vectors.select("k", "f"), "f", ["a", "b", "c"]).where("k = 1").first() == (1, 1.0, 2.5, None)
+    assert tables.summary(rows, "v").first()[:4] == (3, -1.0, 2.5, 0.75) and tables.summary(rows.limit(0), "v").first() == (0, None, None, None, None)
+    assert sorted(map(tuple, tables.flatten(rows.select("k", "xs"), "xs", "x").collect())) == [(1, "a"), (1, "b")]
+    joined = tables.group_join(rows.select("k"), rows.select("k", "v"), "k", n=F.count("v"))
+    assert {tuple(r) for r in joined.collect()} == {(1, 1), (2, 0), (None, None)}
+    assert [r["chunk"] for r in tables.chunked(spark.range(5).withColumn("g", F.lit(1)), 2, "g", ["id"]).orderBy("id").collect()] == [0, 0, 1, 1, 2]
+    assert tables.union_distinct(spark.range(3), spark.range(2), spark.range(4)).count() == 4 and tables.concatenated(spark.range(3), spark.range(2)).count() == 5
