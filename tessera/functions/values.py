@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: First bytes (hex) of known file types, and of RIFF and ISO media files the type at a later place. Fixed values.
-SIGNATURES = {
-    "Png": "89504E470D0A1A0A", "Jpeg": "FFD8FF", "Gif": "47494638", "Pdf": "25504446", "Zip": "504B0304", "Gzip": "1F8B",
-    "Bmp": "424D",
-}
+#: File types by bytes (hex) at places in them, in the order in which they are looked for. Fixed values.
+SIGNATURES = (
+    ("Png", ((0, "89504E470D0A1A0A"),)), ("Jpeg", ((0, "FFD8FF"),)), ("Gif", ((0, "47494638"),)), ("Pdf", ((0, "25504446"),)),
+    ("Zip", ((0, "504B03"),)), ("Zip", ((0, "504B05"),)), ("Gzip", ((0, "1F8B"),)), ("Bmp", ((0, "424D"),)),
+    ("WebP", ((0, "52494646"), (8, "57454250"))), ("Mp4", ((4, "66747970"),)),
+)
 
 
 def approx_equal(left: Column, right: Column, tolerance: float = 0.01) -> Column:
@@ -40,8 +43,8 @@ def data_uri_bytes(uri: Column) -> Column:
 def file_type(content: Column) -> Column:
     """The type of a file by its first bytes, else ``Unknown``."""
     head = F.hex(F.substring(content, 1, 16))
-    found = F.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "WebP")
-    found = found.when(F.substring(head, 9, 8) == "66747970", "Mp4")
-    for name, signature in SIGNATURES.items():
-        found = found.when(head.startswith(signature), name)
+    found = F
+    for name, marks in SIGNATURES:
+        fits = reduce(and_, (F.substring(head, 2 * at + 1, len(mark)) == mark for at, mark in marks))
+        found = found.when(fits, name)
     return found.otherwise("Unknown")

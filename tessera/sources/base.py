@@ -32,8 +32,6 @@ class CatalogEntry(ABC):
     is_object = False
     #: Whether counting reads only what is at hand: file footers, memory.
     cheap_count = False
-    #: Whether ``save`` returns the number of rows.
-    counts_rows = False
 
     def __init__(self, key: str, path: str | None = None) -> None:
         if not key or not key.strip():

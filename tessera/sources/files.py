@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _at(spark: SparkSession, path: str):  # noqa: ANN202
@@ -98,15 +99,60 @@ def swap(spark: SparkSession, new: str, path: str) -> None:
 def write_frame(spark: SparkSession, frame: DataFrame, path: str, kind: str, one_file: bool, **options: object) -> None:
     """Writes a table beside its place, then swaps it in, so a table may be overwritten by what was read from it.
 
-    ``one_file`` makes the path a single file, which one task writes; otherwise it is a folder of one file for each task.
+    It is a folder of one file for each task. With ``one_file`` the path is a single file: all tasks write CSV, whose files
+    are then joined; a file in another format, or encoding, gets all rows through a shuffle to the one task that writes it.
+    What comes before the writing keeps its tasks in any case.
     """
     beside = f"{path.rpartition('/')[0] or '.'}/.{uuid.uuid4().hex}.tmp"
-    (frame.coalesce(1) if one_file else frame).write.options(**options).format(kind).save(beside)
-    if one_file:
-        parts = data_files(spark, beside)
-        if not parts:
-            raise OSError(f"nothing was written for {path}")
-        swap(spark, parts[0], path)
-        delete(spark, beside)
-    else:
+    if not one_file:
+        frame.write.options(**options).format(kind).save(beside)
         swap(spark, beside, path)
+        return
+    try:
+        if kind == "csv" and str(options.get("encoding", "utf-8")).lower() in ("utf-8", "utf8", "us-ascii", "iso-8859-1"):
+            header = str(options.get("header", "false")).lower() == "true"
+            bare = {**options, "header": "false"}
+            frame.write.options(**bare).csv(f"{beside}/rows")
+            parts = data_files(spark, f"{beside}/rows")
+            if header:
+                names = spark.range(1).select(*(F.lit(c).alias(c) for c in frame.columns))
+                names.coalesce(1).write.options(**bare).csv(f"{beside}/header")
+                parts = data_files(spark, f"{beside}/header") + parts
+            join_files(spark, parts, path)
+        else:
+            frame.repartition(1).write.options(**options).format(kind).save(beside)
+            parts = data_files(spark, beside)
+            if not parts:
+                raise OSError(f"nothing was written for {path}")
+            swap(spark, parts[0], path)
+    finally:
+        delete(spark, beside)
+
+
+def join_files(spark: SparkSession, parts: list[str], path: str, start: bytes = b"", end: bytes = b"", separator: int = 0) -> None:
+    """Joins files in their order, the last one without its last ``separator`` bytes, between a start and an end. The bytes
+    go from stream to stream."""
+    sizes = {p: (found := _at(spark, p))[0].getFileStatus(found[1]).getLen() for p in parts}
+    filled = [p for p in parts if sizes[p]]
+    system, where = _at(spark, path)
+    if where.getParent() is not None:
+        system.mkdirs(where.getParent())
+    beside, hidden = _at(spark, f"{path.rpartition('/')[0] or '.'}/.{uuid.uuid4().hex}.tmp")
+    out = system.create(hidden, True)
+    try:
+        out.write(bytearray(start))
+        for p in filled:
+            own, at = _at(spark, p)
+            stream = own.open(at)
+            try:
+                wanted = sizes[p] - (separator if p == filled[-1] else 0)
+                spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, wanted)
+            finally:
+                stream.close()
+        out.write(bytearray(end))
+    except BaseException:
+        out.close()
+        beside.delete(hidden, False)
+        raise
+    out.close()
+    swap(spark, hidden.toString(), path)

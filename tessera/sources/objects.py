@@ -10,6 +10,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 
+from tessera.functions.values import SIGNATURES
 from tessera.sources import files
 from tessera.sources.base import SAMPLE, SingleObject
 from tessera.sources.tables import camel_case
@@ -34,21 +35,14 @@ class FileType(enum.StrEnum):
     UNKNOWN = "Unknown"
 
 
-#: First bytes of file types. Fixed values.
-SIGNATURES = (
-    (b"\x89PNG\r\n\x1a\n", FileType.PNG), (b"\xff\xd8\xff", FileType.JPEG), (b"GIF8", FileType.GIF), (b"%PDF", FileType.PDF),
-    (b"PK\x03\x04", FileType.ZIP), (b"\x1f\x8b", FileType.GZIP), (b"BM", FileType.BMP),
-)
+#: First bytes of programs. Fixed values.
 PROGRAMS = ((b"MZ", "Exe"), (b"\x7fELF", "Elf"))
 
 
 def detect_file_type(start: bytes) -> FileType:
     """The type that the first 16 bytes show."""
-    if start[:4] == b"RIFF" and start[8:12] == b"WEBP":
-        return FileType.WEBP
-    if start[4:8] == b"ftyp":
-        return FileType.MP4
-    return next((kind for mark, kind in SIGNATURES if start.startswith(mark)), FileType.UNKNOWN)
+    fits = lambda marks: all(start[at : at + len(mark) // 2] == bytes.fromhex(mark) for at, mark in marks)
+    return next((FileType(name) for name, marks in SIGNATURES if fits(marks)), FileType.UNKNOWN)
 
 
 def plain(value: object, rename: bool = True) -> object:

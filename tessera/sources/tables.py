@@ -6,15 +6,17 @@ import io
 import json
 import re
 import threading
+import uuid
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import storage
 from tessera.schema import Schema, schema_of
 from tessera.shipping import on_workers
 from tessera.sources import files
@@ -66,12 +68,29 @@ class ParquetDataset(Dataset):
         return found
 
 
+#: Bytes in which a header is looked for.
+HEADER_BYTES = 4096
+
+
+def _plain_header(start: bytes, options: dict[str, str]) -> list[str] | None:
+    """The names in a first line that needs no CSV parser: ASCII, unquoted, none empty or twice. None for any other, and if
+    the options are more than a separator."""
+    if {k.lower() for k in options} - {"header", "sep"} or str(options.get("header")).lower() != "true" or b"\n" not in start:
+        return None
+    line = start.partition(b"\n")[0].removesuffix(b"\r")
+    if not line.isascii() or any(c < 32 and c != 9 for c in line) or any(c in line for c in b'"\\`#'):
+        return None
+    names = line.decode().split(options.get("sep", ","))
+    plain = all(n and n == n.strip() for n in names) and len({n.lower() for n in names}) == len(names)
+    return names if plain else None
+
+
 class CsvDataset(Dataset):
     """CSV with a header, read by column name: the order of columns and further columns don't matter.
 
     ``options`` go to Spark's CSV reader and writer (sep, quote, escape, encoding ...). Empty fields are null; with
-    ``keep_empty`` they stay empty texts. ``one_file`` (the default) writes a single file, which one task does; turn it off
-    for large tables.
+    ``keep_empty`` they stay empty texts. ``one_file`` (the default) makes a single file, joined from those that all tasks
+    write; turn it off for large tables.
     """
 
     def __init__(
@@ -83,7 +102,11 @@ class CsvDataset(Dataset):
         self.keep_empty, self.one_file = keep_empty, one_file
 
     def raw(self, spark: SparkSession) -> DataFrame:
-        return spark.read.options(**self.options).csv(self.path)
+        """All columns as texts. A plain header is read from the file's start, which saves Spark a job; any other is left to
+        Spark."""
+        names = _plain_header(files.head(spark, self.path, HEADER_BYTES), self.options)
+        reader = spark.read.options(**self.options)
+        return reader.schema(", ".join(f"`{n}` string" for n in names)).csv(self.path) if names else reader.csv(self.path)
 
     def texts(self, spark: SparkSession) -> DataFrame:
         """The declared columns as texts, found by name in any case; an error if one is missing."""
@@ -128,6 +151,12 @@ class CsvDataset(Dataset):
         return self._inspect(spark, None) if found.is_valid else found
 
 
+def _indented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = ["  " + json.dumps(json.loads(x.as_py()), indent=2, ensure_ascii=False).replace("\n", "\n  ") for x in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
+
+
 def camel_case(name: str) -> str:
     """``review_scores`` and ``ReviewScores`` become ``reviewScores``."""
     first, *rest = name.split("_")
@@ -137,14 +166,13 @@ def camel_case(name: str) -> str:
 class JsonDataset(Dataset):
     """A file that holds one JSON array of objects: camel-case names, nulls left out, indented by two unless ``minified``.
 
-    Such a file is written by one stream from the driver, a partition at a time. With ``lines`` the path is a folder of
-    JSON lines instead, which all tasks write; use it for large tables.
+    All tasks write their objects, and their files are joined into one. With ``lines`` the path is a folder of JSON lines
+    instead; use it for large tables.
     """
 
     def __init__(self, key: str, schema: type | Schema, path: str, minified: bool = False, lines: bool = False) -> None:
         super().__init__(key, schema, path)
         self.minified, self.lines = minified, lines
-        self.counts_rows = not lines
 
     def load(self, spark: SparkSession) -> DataFrame:
         if not self.exists(spark):
@@ -155,30 +183,25 @@ class JsonDataset(Dataset):
         rows = spark.read.schema(struct).option("multiLine", not self.lines).option("mode", "FAILFAST").json(self.path)
         return rows.toDF(*(c.name for c in self.schema.columns))
 
-    def save(self, spark: SparkSession, data: DataFrame | None) -> int | None:
-        """Returns the number of rows if it saw them all."""
+    def save(self, spark: SparkSession, data: DataFrame | None) -> None:
         if data is None:
             raise ValueError(f"{self.key}: no data")
         named = self.check(data).toDF(*(camel_case(c.source_name) for c in self.schema.columns))
         if self.lines:
             files.write_frame(spark, named, self.path, "json", False)
-            return None
-        written = 0
-        rows = named.select(F.to_json(F.struct("*")).alias("j"))
-
-        def parts() -> Iterator[bytes]:
-            nonlocal written
-            yield b"["
-            for row in rows.toLocalIterator():
-                text = row["j"]
-                if not self.minified:
-                    text = "\n  " + json.dumps(json.loads(text), indent=2, ensure_ascii=False).replace("\n", "\n  ")
-                yield (("," if written else "") + text).encode()
-                written += 1
-            yield b"\n]" if written and not self.minified else b"]"
-
-        files.write_bytes(spark, self.path, parts())
-        return written
+            return
+        rows, separator = named.select(F.to_json(F.struct("*")).alias("value")), ","
+        if not self.minified:
+            rows, separator = rows.mapInArrow(_indented, "value string"), ",\n"
+        beside = f"{self.path.rpartition('/')[0] or '.'}/.{uuid.uuid4().hex}.tmp"
+        try:
+            rows.write.option("lineSep", separator).text(beside)
+            parts = files.data_files(spark, beside)
+            some = any(files.head(spark, p, 1) for p in parts)
+            start, end = (b"[\n", b"\n]") if some and not self.minified else (b"[", b"]")
+            files.join_files(spark, parts, self.path, start, end, len(separator))
+        finally:
+            files.delete(spark, beside)
 
     def inspect_shallow(self, spark: SparkSession, sample: int = SAMPLE) -> ValidationResult:
         if not self.exists(spark):
@@ -274,7 +297,8 @@ class ExcelDataset(ReadOnlyDataset):
         self.schema.require_flat("Excel")
         self.sheet = sheet
 
-    def texts(self, spark: SparkSession) -> DataFrame:
+    def texts(self, spark: SparkSession, first: int | None = None) -> DataFrame:
+        """The declared columns as texts; of the first rows alone if so many are named, which stops reading a workbook there."""
         sheet, columns = self.sheet, [(c.name, c.source_name) for c in self.schema.columns]
 
         def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,9 +312,8 @@ class ExcelDataset(ReadOnlyDataset):
                         at.append(next((header.index(t) for t in tries if t in header), None))
                     if missing := [c[1] for c, i in zip(columns, at, strict=True) if i is None]:
                         raise KeyError(f"missing columns: {', '.join(missing)}")
-                    values = [[None if i >= len(r) else r[i] for i in at] for r in rows if any(x is not None for x in r)]
-                    for start in range(0, len(values), 4096):
-                        part = values[start : start + 4096]
+                    values = islice(([None if i >= len(r) else r[i] for i in at] for r in rows if any(x is not None for x in r)), first)
+                    while part := list(islice(values, 4096)):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(x, pa.string()) for x in zip(*part, strict=True)], names=[c[0] for c in columns]
                         )
@@ -308,7 +331,7 @@ class ExcelDataset(ReadOnlyDataset):
         if files.head(spark, self.path, 2) != b"PK":
             return self.fail(ErrorType.INVALID_FORMAT, "not a workbook")
         try:
-            return self.misfits(self.texts(spark), limit) or ValidationResult.success()
+            return self.misfits(self.texts(spark, limit), limit) or ValidationResult.success()
         except SPARK_ERRORS as e:
             for mark, kind in (("there is no sheet", ErrorType.NOT_FOUND), ("missing columns", ErrorType.SCHEMA_MISMATCH), ("not a workbook", ErrorType.INVALID_FORMAT)):
                 if found := re.search(f"{mark}[^'\"\n]*", str(e)):
@@ -324,39 +347,40 @@ class ExcelDataset(ReadOnlyDataset):
 
 
 class MemoryDataset(Dataset):
-    """A table kept in the executors' storage; saving computes it. Lost blocks are computed again from its lineage."""
+    """A table for the time of the run; saving computes it. It is held as files in the shared folder, not in executors: it
+    is never computed again, from inputs that may have been replaced meanwhile, when an executor is lost."""
 
     cheap_count = True
 
     def __init__(self, key: str, schema: type | Schema) -> None:
         super().__init__(key, schema)
-        self._lock, self._data, self._rows = threading.Lock(), None, 0
+        self._lock, self._at = threading.Lock(), None
 
     def load(self, spark: SparkSession) -> DataFrame:
         with self._lock:
-            if self._data is None:
+            if self._at is None:
                 raise RuntimeError(f"{self.key} was not saved before it was loaded")
-            return self._data
+            return spark.read.schema(self.schema.struct).parquet(self._at)
 
     def save(self, spark: SparkSession, data: DataFrame) -> None:
-        kept = self.check(data).persist(StorageLevel.MEMORY_AND_DISK)
-        rows = kept.count()
+        path = storage.new_folder(spark, "memory")
+        self.check(data).write.parquet(path)
         with self._lock:
-            old, self._data, self._rows = self._data, kept, rows
+            old, self._at, self._spark = self._at, path, spark
         if old is not None:
-            old.unpersist()
+            storage.delete(spark, old)
 
     def exists(self, spark: SparkSession) -> bool:
-        return self._data is not None
+        return self._at is not None
 
     def count(self, spark: SparkSession) -> int:
-        return self._rows if self._data is not None else 0
+        return self.load(spark).count() if self._at is not None else 0
 
     def clear(self) -> None:
         with self._lock:
-            if self._data is not None:
-                self._data.unpersist()
-            self._data, self._rows = None, 0
+            if self._at is not None:
+                storage.delete(self._spark, self._at)
+            self._at = None
 
 
 class NullDataset(Dataset):
