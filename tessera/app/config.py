@@ -12,8 +12,9 @@ import typing
 from collections.abc import Callable, Mapping
 from pathlib import Path
 
-#: The variable that names the environment, and the environment if nothing does.
+#: The variable that names the environment, those looked at after it (fixed names), and the environment if none does.
 ENVIRONMENT_VARIABLE, DEFAULT_ENVIRONMENT = "TESSERA_ENV", "Production"
+FALL_BACKS = ("DOTNET_ENVIRONMENT", "ASPNETCORE_ENVIRONMENT")
 
 #: The section that the application itself reads.
 ROOT = "Tessera"
@@ -23,9 +24,11 @@ class ConfigError(ValueError):
     """A configuration that is missing something or is wrong."""
 
 
-def environment(explicit: str | None = None, variable: str = ENVIRONMENT_VARIABLE) -> str:
-    """The environment's name: given, else from the variable, else Production."""
-    return explicit or os.environ.get(variable) or DEFAULT_ENVIRONMENT
+def environment(explicit: str | None = None, variable: str | None = ENVIRONMENT_VARIABLE) -> str:
+    """The environment's name: given, else from the variable (none: it is not looked at), else from the general ones, else
+    Production."""
+    named_by = (os.environ.get(v) for v in (variable, *FALL_BACKS) if v)
+    return explicit or next(filter(None, named_by), DEFAULT_ENVIRONMENT)
 
 
 def _merged(low: Mapping, high: Mapping) -> dict:
