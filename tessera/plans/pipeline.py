@@ -222,6 +222,9 @@ def _save(spark: SparkSession, entry: CatalogEntry, value: object) -> int | None
     if not isinstance(value, DataFrame) or entry.key.startswith("_nodata"):
         entry.save(spark, value)
         return None
+    if not entry.reads_when_saved:
+        entry.save(spark, value)
+        return entry.count(spark) if entry.cheap_count else None
     watch = Observation()
     entry.save(spark, value.observe(watch, F.count(F.lit(1)).alias("rows")))
     return int(watch.get["rows"])

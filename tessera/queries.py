@@ -2,56 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import approx_equal, data_uri_bytes, file_type, is_blank, is_true, parse_decimal, parse_int, parse_money, parse_percentage, spaced_label
 from tessera.meta import dag, dag_frames
 from tessera.operators import models, tables
 from tessera.plans import Constant, PassThrough, Pipeline, PipelineBuilder
+from tessera.registry import ORACLE_SQL, QUERIES, folder, query, table
 from tessera.schema import Schema, schema_of
 from tessera.sources import CsvDataset, ExcelDataset, JsonDataset, MemoryDataset, NoData, ParquetDataset, TextObject, files
 from tessera.sources.workbooks import workbook
 from tessera.validation import Level
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query by its name, with its SQL."""
-
-    def add(function: Query) -> Query:
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE_SQL[function.__name__] = sql
-        return function
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster shares; in the working machine's own only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/queries-{uuid.uuid4().hex}"
-
-    def clean() -> None:
-        try:
-            files.delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone
-            pass
-
-    atexit.register(clean)
-    return path
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 # --- joins and aggregates ---------------------------------------------------------------------------------------------
@@ -100,6 +66,14 @@ def global_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT CAST(count(*) AS BIGINT) AS n, min(o_totalprice) AS least, max(o_totalprice) AS largest, round(avg(o_totalprice), 4) AS mean,
+  round(stddev_pop(o_totalprice), 4) AS deviation FROM orders
+""")
+def value_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.summary(table(spark, sf_dir, "orders"), "o_totalprice").withColumns({c: F.round(c, 4) for c in ("mean", "deviation")})
+
+
 @query("""
 SELECT quality AS actual, CAST(count(*) FILTER (WHERE toxic = 0) AS BIGINT) AS predicted_0,
   CAST(count(*) FILTER (WHERE toxic = 1) AS BIGINT) AS predicted_1
@@ -142,12 +116,16 @@ def parse_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dirty(spark, sf_dir).select("k", F.round(parse_decimal(F.col("s")).cast("double"), 6).alias("v"))
 
 
-@query(f"SELECT k, round(CAST({_decimal_sql(chr(114) + 'eplace(s, ' + chr(39) + '%' + chr(39) + ', ' + chr(39) * 2 + ')')} AS DOUBLE) / 100, 6) AS v FROM ({_DIRTY})")
+_PERCENT_SQL = _decimal_sql("replace(s, '%', '')")
+_AMOUNT_SQL = _decimal_sql("translate(s, '$,', '')")
+
+
+@query(f"SELECT k, round(CAST({_PERCENT_SQL} AS DOUBLE) / 100, 6) AS v FROM ({_DIRTY})")
 def parse_percentages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dirty(spark, sf_dir).select("k", F.round(parse_percentage(F.col("s")).cast("double"), 6).alias("v"))
 
 
-@query(f"SELECT k, round(coalesce(CAST({_decimal_sql('translate(s, ' + chr(39) + '$,' + chr(39) + ', ' + chr(39) * 2 + ')')} AS DOUBLE), 0), 6) AS v FROM ({_DIRTY})")
+@query(f"SELECT k, round(coalesce(CAST({_AMOUNT_SQL} AS DOUBLE), 0), 6) AS v FROM ({_DIRTY})")
 def parse_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dirty(spark, sf_dir).select("k", F.round(parse_money(F.col("s")).cast("double"), 6).alias("v"))
 
@@ -181,9 +159,9 @@ FROM lineitem
 """)
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector is an array; its items are read back as columns."""
-    vector = F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double"), (F.col("l_returnflag") == "R").cast("double"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", vector.alias("v"))
-    return rows.select("l_orderkey", "l_linenumber", *(F.col("v")[i].alias(n) for i, n in enumerate(("quantity", "discount", "returned"))))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", (F.col("l_returnflag") == "R").alias("flag"))
+    vectors = tables.feature_vector(rows, ["l_quantity", "l_discount", "flag"]).select("l_orderkey", "l_linenumber", "features")
+    return tables.vector_columns(vectors, "features", ["quantity", "discount", "returned"])
 
 
 # --- sources ----------------------------------------------------------------------------------------------------------
@@ -193,7 +171,7 @@ def _through(spark: SparkSession, sf_dir: str, make: Callable[[Schema, str], obj
     """The customer table through a pipeline of one node into another format, read back."""
     path = f"{sf_dir}/customer.parquet"
     schema = schema_of(spark.read.parquet(path).schema)
-    out = make(schema, f"{_folder(spark)}/customer")
+    out = make(schema, f"{folder(spark)}/customer")
     PipelineBuilder("copy").add_node(PassThrough(), ParquetDataset("customer", schema, path), out).build().execute(spark)
     return out.load(spark)
 
@@ -221,7 +199,7 @@ def passthrough_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def single_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation")
-    out = JsonDataset("nations", rows.schema, f"{_folder(spark)}/nations.json")
+    out = JsonDataset("nations", rows.schema, f"{folder(spark)}/nations.json")
     out.save(spark, rows)
     return out.load(spark)
 
@@ -229,7 +207,7 @@ def single_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT r_regionkey, r_name FROM region")
 def single_csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "region")
-    out = CsvDataset("regions", rows.schema, f"{_folder(spark)}/regions.csv", options={"sep": ";"})
+    out = CsvDataset("regions", rows.schema, f"{folder(spark)}/regions.csv", options={"sep": ";"})
     out.save(spark, rows)
     return out.load(spark)
 
@@ -237,7 +215,7 @@ def single_csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def excel_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation")
-    path = f"{_folder(spark)}/nations.xlsx"
+    path = f"{folder(spark)}/nations.xlsx"
     files.write_bytes(spark, path, [workbook(rows.columns, [list(r) for r in rows.collect()])])  # 25 rows in any size
     return ExcelDataset("nations", rows.schema, path).load(spark)
 
@@ -344,16 +322,16 @@ def minmax_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey, x FROM (SELECT o_orderkey, unnest(string_split(o_orderpriority, '-')) AS x FROM orders)
 """)
 def flatten_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.split("o_orderpriority", "-")).alias("x"))
+    return tables.flatten(table(spark, sf_dir, "orders").select("o_orderkey", F.split("o_orderpriority", "-").alias("xs")), "xs", "x")
 
 
 @query("""
 SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS orders, max(o_totalprice) AS largest FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey
 """)
 def group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders are reduced to one row for each customer before they are joined."""
-    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("largest"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"), "largest")
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    joined = tables.group_join(table(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey", n=F.count(F.lit(1)), largest=F.max("o_totalprice"))
+    return joined.select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"), "largest")
 
 
 @query("""
@@ -361,8 +339,7 @@ SELECT n_regionkey, CAST(CAST(floor((n - 1) / 2) AS BIGINT) AS BIGINT) AS chunk,
 FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n FROM nation) GROUP BY 1, 2
 """)
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1
-    rows = table(spark, sf_dir, "nation").withColumn("chunk", F.floor(place / 2).cast("long"))
+    rows = tables.chunked(table(spark, sf_dir, "nation"), 2, "n_regionkey", ["n_nationkey"])
     names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda s: s["n_name"]), ",")
     return rows.groupBy("n_regionkey", "chunk").agg(names.alias("names"))
 
@@ -391,6 +368,11 @@ def any_and_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.agg(F.bool_or(F.col("l_quantity") > 49).alias("any_large"), F.bool_and(F.col("l_quantity") > 0).alias("all_positive"))
 
 
+@query('SELECT bool_or(l_quantity > 49) AS "any", bool_and(l_quantity > 49) AS "all" FROM lineitem')
+def any_all_of_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.any_all(table(spark, sf_dir, "lineitem"), F.col("l_quantity") > 49)
+
+
 @query("""
 SELECT o_custkey, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS least, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS largest
 FROM orders GROUP BY o_custkey
@@ -402,13 +384,13 @@ def min_by_max_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
-    return a.distinct().union(b.distinct()).distinct()
+    return tables.union_distinct(a, b)
 
 
 @query("SELECT 'customer' AS kind, c_name AS name FROM customer UNION ALL SELECT 'supplier', s_name FROM supplier")
 def concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "customer").select(F.lit("customer").alias("kind"), F.col("c_name").alias("name"))
-    return a.unionByName(table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_name").alias("name")))
+    return tables.concatenated(a, table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.lit("supplier").alias("kind")))
 
 
 # --- models -----------------------------------------------------------------------------------------------------------
@@ -422,6 +404,29 @@ def ols_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(round(model.intercept, 4)).alias("intercept"), F.lit(round(model.coefficients[0], 6)).alias("slope"))
 
 
+_FAR = "SELECT 1700000000 + CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem"
+
+
+@query(f"SELECT round(regr_slope(y, x), 3) AS slope FROM ({_FAR})")
+def ols_far_from_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature like a time in seconds, whose squares would leave no digits for its spread."""
+    rows = table(spark, sf_dir, "lineitem").select((F.lit(1700000000) + F.col("l_quantity").cast("double")).alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    return spark.range(1).select(F.lit(round(models.least_squares(rows, ["x"], "y").coefficients[0], 3)).alias("slope"))
+
+
+@query("SELECT round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem")
+def gradient_descent_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = models.gradient_descent(table(spark, sf_dir, "lineitem"), ["l_quantity"], "l_extendedprice", least_change=1e-12)
+    return spark.range(1).select(F.lit(round(model.intercept, 2)).alias("intercept"), F.lit(round(model.coefficients[0], 4)).alias("slope"))
+
+
+@query("""
+SELECT l_returnflag, round(avg(l_quantity), 6) AS average FROM lineitem GROUP BY l_returnflag
+""")
+def average_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.average_by(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity").withColumn("average", F.round("average", 6))
+
+
 @query("""
 WITH m AS (SELECT regr_intercept(l_extendedprice, l_quantity) AS a, regr_slope(l_extendedprice, l_quantity) AS b, avg(l_extendedprice) AS mean FROM lineitem),
 s AS (SELECT l_extendedprice AS y, a + b * l_quantity AS p, mean FROM lineitem, m)
@@ -479,10 +484,10 @@ def normal_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sales(spark: SparkSession, sf_dir: str) -> dict[str, Pipeline]:
     """Two pipelines that share an entry."""
-    folder = _folder(spark)
+    place = folder(spark)
     schemas = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet").schema for n in ("orders", "customer")}
     orders, customers = (ParquetDataset(n.title(), schemas[n], f"{sf_dir}/{n}.parquet") for n in ("orders", "customer"))
-    totals = ParquetDataset("CustomerTotals", spark.createDataFrame([], "o_custkey long, n long").schema, f"{folder}/totals")
+    totals = ParquetDataset("CustomerTotals", spark.createDataFrame([], "o_custkey long, n long").schema, f"{place}/totals")
     large = MemoryDataset("LargeCustomers", spark.createDataFrame([], "c_custkey long, c_name string, n long").schema)
     count = lambda data: data.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
 
@@ -543,15 +548,15 @@ SELECT * FROM (VALUES ('Missing', 'NotFound'), ('NoTable', 'InvalidFormat'), ('O
   ('Empty', 'EmptyDataset')) t(key, type)
 """)
 def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, region = _folder(spark), table(spark, sf_dir, "region")
-    TextObject("t", f"{folder}/text.parquet").save(spark, "no table")
-    ParquetDataset("e", region.schema, f"{folder}/empty").save(spark, region.limit(0))
+    place, region = folder(spark), table(spark, sf_dir, "region")
+    TextObject("t", f"{place}/text.parquet").save(spark, "no table")
+    ParquetDataset("e", region.schema, f"{place}/empty").save(spark, region.limit(0))
     other = spark.createDataFrame([], "r_regionkey int, r_name string, more string").schema
     wrong = spark.createDataFrame([], "r_regionkey string, r_name string").schema
     entries = [
-        ParquetDataset("Missing", region.schema, f"{folder}/none"), ParquetDataset("NoTable", region.schema, f"{folder}/text.parquet"),
+        ParquetDataset("Missing", region.schema, f"{place}/none"), ParquetDataset("NoTable", region.schema, f"{place}/text.parquet"),
         ParquetDataset("OtherColumns", other, f"{sf_dir}/region.parquet"), ParquetDataset("OtherTypes", wrong, f"{sf_dir}/region.parquet"),
-        ParquetDataset("Empty", region.schema, f"{folder}/empty"), ParquetDataset("Good", region.schema, f"{sf_dir}/region.parquet").with_inspection_level(Level.DEEP),
+        ParquetDataset("Empty", region.schema, f"{place}/empty"), ParquetDataset("Good", region.schema, f"{sf_dir}/region.parquet").with_inspection_level(Level.DEEP),
     ]
     steps = PipelineBuilder("check").add_node(lambda **tables_: None, {e.key: e for e in entries}, NoData.output(), "Use")
     return steps.build().validate(spark).to_frame(spark).select("key", "type")

@@ -32,6 +32,8 @@ class CatalogEntry(ABC):
     is_object = False
     #: Whether counting reads only what is at hand: file footers, memory.
     cheap_count = False
+    #: Whether ``save`` reads all rows at once, so that they can be counted on the way.
+    reads_when_saved = False
 
     def __init__(self, key: str, path: str | None = None) -> None:
         if not key or not key.strip():

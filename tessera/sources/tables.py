@@ -28,6 +28,7 @@ class ParquetDataset(Dataset):
     """A Parquet folder, or with ``one_file`` a single Parquet file. ``partition_by`` parts the folder by columns."""
 
     cheap_count = True
+    reads_when_saved = True
 
     def __init__(self, key: str, schema: type | Schema, path: str, one_file: bool = False) -> None:
         super().__init__(key, schema, path)
@@ -93,6 +94,8 @@ class CsvDataset(Dataset):
     write; turn it off for large tables.
     """
 
+    reads_when_saved = True
+
     def __init__(
         self, key: str, schema: type | Schema, path: str, options: dict[str, str] | None = None, keep_empty: bool = False, one_file: bool = True
     ) -> None:
@@ -170,6 +173,8 @@ class JsonDataset(Dataset):
     instead; use it for large tables.
     """
 
+    reads_when_saved = True
+
     def __init__(self, key: str, schema: type | Schema, path: str, minified: bool = False, lines: bool = False) -> None:
         super().__init__(key, schema, path)
         self.minified, self.lines = minified, lines
@@ -351,6 +356,7 @@ class MemoryDataset(Dataset):
     is never computed again, from inputs that may have been replaced meanwhile, when an executor is lost."""
 
     cheap_count = True
+    reads_when_saved = True
 
     def __init__(self, key: str, schema: type | Schema) -> None:
         super().__init__(key, schema)
