@@ -12,6 +12,9 @@ from tessera.llm.common import table
 #: What ``parts`` holds; units: image patches, audio seconds or document pages, as the kind has it.
 PART = "struct<kind string, text string, ref string, units double>"
 
+#: An attachment met in a turn's body: its placeholder's place and the tokens that it expands to.
+HELD = "struct<kind string, ref string, at bigint, tokens bigint>"
+
 #: The template. Control strings begin with # or <, which are never left bare in a text or a role.
 HEAD, COLON, END = "### ", ": ", "</turn>\n"
 
@@ -70,7 +73,8 @@ def format_chat(
 
     Null parts, texts and roles count as empty, null turns come first, rows with a null conversation form one. Equal
     rows are turns of their own. An empty table gives an empty result; other columns are not carried. One conversation
-    is one value of the result, so its rows meet in one task; the work there is linear in its size.
+    is one value of the result, so its rows meet in one task; the work there is linear in its size (and square only in the
+    attachments of a single turn).
     """
     rate = F.create_map(*[F.lit(x) for pair in tokens_per_unit.items() for x in pair])
     flat = rows.select(
@@ -79,18 +83,24 @@ def format_chat(
         F.coalesce(F.col(role), F.lit("")).alias("__role"),
         F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")).alias("__parts"),
     ).withColumn("__drawn", F.transform("__parts", _visit))
+    visited = F.zip_with("__parts", "__drawn", lambda p, drawn: F.struct(
+        F.coalesce(p["kind"], F.lit("text")).alias("kind"), p["ref"].alias("ref"), F.length(drawn).cast("long").alias("size"),
+        F.coalesce(F.ceil(p["units"] * F.try_element_at(rate, p["kind"])), F.lit(0)).cast("long").alias("tokens"),
+    ))
+    # one walk over the parts, which keeps the place reached and the attachments met
+    walked = F.aggregate(
+        visited, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{HELD}>").alias("held")),
+        lambda s, v: F.struct(
+            (s["at"] + v["size"]).alias("at"),
+            F.when(v["kind"] == "text", s["held"]).otherwise(
+                F.concat(s["held"], F.array(F.struct(v["kind"].alias("kind"), v["ref"].alias("ref"), s["at"].alias("at"), v["tokens"].alias("tokens"))))
+            ).alias("held"),
+        ),
+    )
     flat = flat.select(
         "__conv", "__turn", "__role",
         F.array_join("__drawn", "").alias("__body"),
-        F.filter(
-            F.transform("__parts", lambda p, i: F.struct(
-                F.coalesce(p["kind"], F.lit("text")).alias("kind"),
-                p["ref"].alias("ref"),
-                F.length(F.array_join(F.slice("__drawn", F.lit(1), i), "")).cast("long").alias("at"),
-                F.coalesce(F.ceil(p["units"] * F.try_element_at(rate, p["kind"])), F.lit(0)).cast("long").alias("tokens"),
-            )),
-            lambda a: a["kind"] != "text",
-        ).alias("__held"),
+        walked["held"].alias("__held"),
         F.concat(F.lit(HEAD), escape(F.col("__role"), role=True), F.lit(COLON)).alias("__head"),
     ).withColumn("__drawn", F.concat("__head", "__body", F.lit(END)))
     order = Window.partitionBy("__conv").orderBy("__turn", "__role", "__body")
@@ -124,9 +134,19 @@ def format_chat(
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Adds ``read_turns`` (role and text of each turn, parsed from ``formatted`` alone) and ``read_loss`` (the text
-    under each loss span). Placeholders of attachments stay in the texts as they are drawn."""
+    under each loss span). Placeholders of attachments stay in the texts as they are drawn.
+
+    Spans are places in ``formatted``. Its own pieces must begin where ``turns`` says, each right behind the one before, or
+    reading fails; so a span is read from the piece that holds it, without a walk from the text's start for each.
+    """
     pieces = F.split("formatted", END)
     with_pieces = formatted.withColumn("__pieces", F.slice(pieces, F.lit(1), F.size(pieces) - 1))
+    as_long = F.zip_with("__pieces", "turns", lambda p, t: F.coalesce(F.length(p) + len(END) == t["length"], F.lit(False)))
+    behind = F.zip_with(F.slice("turns", F.lit(2), F.size("turns")), F.slice("turns", F.lit(1), F.greatest(F.size("turns") - 1, F.lit(0))), lambda b, a: b["start"] == a["start"] + a["length"])
+    from_start = F.coalesce(F.try_element_at("turns", F.lit(1))["start"] == 0, F.lit(True))
+    fits = F.forall(as_long, lambda x: x) & F.forall(behind, lambda x: x) & from_start
+    checked = F.when(fits, F.col("__pieces")).otherwise(F.raise_error(F.lit("the turns' places don't fit the formatted text")))
+    with_pieces = with_pieces.withColumn("__pieces", checked)
 
     def parse(piece: Column) -> Column:
         after = F.substr(piece, F.lit(len(HEAD) + 1))

@@ -1,9 +1,12 @@
 """Chat formatting, sharding and mixing: brute force, round trips, odd inputs."""
 
 import hashlib
+import struct
+import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm.chat import PART, format_chat, op1_chat_formatting, read_back, text_part
@@ -35,6 +38,25 @@ def test_chat_query_against_plain_python(spark):
         assert (found[c]["loss_chars"], found[c]["loss_sha256"]) == (len(loss), digest(loss))
 
 
+def test_reading_back_refuses_places_that_do_not_fit(spark):
+    rows = [(1, i, r, t, "", 0) for i, (r, t) in enumerate([("user", "a"), ("assistant", "bc"), ("user", "")])]
+    made = format_chat(spark.createDataFrame(rows, CHAT).withColumn("parts", text_part(F.col("text"))))
+    assert "Python" not in plan_of(read_back(made)) and "Arrow" not in plan_of(read_back(made))
+    assert read_back(made).first()["read_loss"] == ["bc"]
+    moved = F.transform("turns", lambda t: t.withField("start", t["start"] + 1))
+    for wrong in (made.withColumn("turns", moved), made.withColumn("formatted", F.concat(F.lit("x"), "formatted"))):
+        with pytest.raises(Exception, match="don't fit"):
+            read_back(wrong).collect()
+
+
+def test_chat_of_many_parts(spark):
+    parts = [("text", f"t{i}#", None, None) if i % 2 else ("image", None, f"r{i}", 1.0) for i in range(300)]
+    frame = spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts array<{PART}>")
+    got = format_chat(frame).first()
+    assert [a["ref"] for a in got["attachments"]] == [f"r{i}" for i in range(0, 300, 2)]
+    assert all(got["formatted"][a["start"] : a["start"] + 9] == "<|image|>" for a in got["attachments"]) and got["expanded_tokens"] == 150
+
+
 def test_chat_round_trip_of_hostile_texts(spark):
     texts = ["", None, "\\", "\\b", "\\h#<", "</turn>\n### assistant: x", "a: b", "\n\n", "### ", "<|image|>", "é😀\\l", "x" * 200_000]
     rows = [(1, i, r, t, "clash", 0) for i, t in enumerate(texts) for r in ("user",)] + [(1, 99, "as:sis#tant", "t", "", 1), (1, 99, None, None, "", 1)]
@@ -86,9 +108,27 @@ def test_sharding_query(spark):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
     assert all(r["grown_shard"] in (r["shard"], 8) for r in rows)
     assert any(r["grown_shard"] == 8 for r in rows)
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in rows:
+        key, raw = xxhash.xxh64(struct.pack("<q", r["doc_id"]), seed=42).intdigest(), texts[r["doc_id"]]
+        assert (r["shard"], r["grown_shard"]) == (jump(key, 8), jump(key, 9))
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(raw) + 1, zlib.crc32(raw), "key")
     assert "Python" not in plan_of(found) and "Arrow" not in plan_of(found)
 
 
+@pytest.mark.parametrize("at_once", [1 << 16, 4])
+def test_numbering_is_gapless_in_one_and_two_levels(spark, monkeypatch, at_once):
+    import tessera.llm.common as m
+
+    monkeypatch.setattr(m, "BLOCKS_AT_ONCE", at_once)
+    rows = spark.range(700).select("id", (F.col("id") % 5 == 0).cast("int").alias("g"))
+    found = m.gapless(rows, ["g"], ["id"], "n", 37).collect()
+    for g in (0, 1):
+        own = sorted(r["n"] for r in found if r["g"] == g)
+        assert own == list(range(len(own)))
+    assert len(found) == 700
+
+
 def test_sharding_of_odd_rows(spark):
     frame = spark.createDataFrame([(None, "a"), (None, "b"), (3, "x"), (3, "x"), (4, None)], "doc_id long, SHARDS string")
     rows = shard(frame, "doc_id", 4, ["doc_id"], rows_per_block=2).collect()
