@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera import storage
 from tessera.shipping import on_workers
 
-#: Where nothing names a shared folder (tests on one machine).
-DEFAULT_SHARED = "file:///tmp/checkpoints"
-
 #: A side of a join is broadcast only if its stored files are no larger than this.
 BROADCAST_BYTES = 8 << 20
 
+#: Blocks of a numbering whose starts one task adds up.
+BLOCKS_AT_ONCE = 1 << 16
+
 #: Fewer rows are not worth a shuffle to have more tasks.
 ROWS_WORTH_DEALING = 512
 
@@ -27,22 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return found.select(*columns) if columns else found
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(DEFAULT_SHARED)
-        found = DEFAULT_SHARED
-    return found.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is not None:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 class Scratch:
     """Tables written in the shared folder, which cut lineage and outlive executors.
 
@@ -52,16 +35,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         on_workers(spark)
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = storage.new_folder(spark, name)
         self.made = 0
-        atexit.register(self._end)
 
     def keep(self, frame: DataFrame) -> DataFrame:
         """The frame, written once and read back."""
         self.made += 1
         path = f"{self.root}/{self.made}"
-        frame.write.parquet(path)
-        back = self.spark.read.schema(frame.schema).parquet(path)
+        back = storage.stored(frame, path)
         back._kept_at = path  # noqa: SLF001
         return back
 
@@ -77,13 +58,7 @@ class Scratch:
 
     def drop(self, kept: DataFrame) -> None:
         """Delete a kept frame that nothing reads any more."""
-        _delete(self.spark, kept._kept_at)
-
-    def _end(self) -> None:
-        try:
-            _delete(self.spark, self.root)
-        except Exception:  # noqa: BLE001  the session may be gone
-            pass
+        storage.delete(self.spark, kept._kept_at)
 
 
 def spread(frame: DataFrame) -> DataFrame:
@@ -114,13 +89,23 @@ def gapless(
 
     Rows are dealt by a hash of the order columns to ``blocks`` blocks a group, numbered inside each, and shifted by the
     rows of the blocks before; so a group with most of the rows is still spread over many tasks. ``groups`` must hold no
-    nulls. The order of a group is (block, order columns).
+    nulls. The order of a group is (block, order columns). The starts of the blocks of a group are added up by one task up
+    to BLOCKS_AT_ONCE of them; more are added up in two levels, lots of blocks and then the lots.
     """
     dealt = frame.withColumn("__block", bucket(order, blocks))
     key = [*groups, "__block"]
     sizes = dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*groups).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*key, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    sums = lambda columns, by, n: F.coalesce(
+        F.sum(n).over(Window.partitionBy(*columns).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    if blocks <= BLOCKS_AT_ONCE:
+        starts = sizes.select(*key, sums(groups, "__block", "__n").alias("__start"))
+    else:
+        lot = [*groups, "__lot"]
+        parted = sizes.withColumn("__lot", F.floor(F.col("__block") / BLOCKS_AT_ONCE))
+        lots = parted.groupBy(*lot).agg(F.sum("__n").alias("__m")).select(*lot, sums(groups, "__lot", "__m").alias("__before"))
+        inner = parted.select(*lot, "__block", sums(lot, "__block", "__n").alias("__inner"))
+        starts = inner.join(lots, lot).select(*key, (F.col("__before") + F.col("__inner")).alias("__start"))
     inside = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return (
         dealt.withColumn("__inside", inside)
