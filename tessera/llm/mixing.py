@@ -24,7 +24,8 @@ PERIOD = 1 << 18
 #: Without target weights, a source weighs as its rows to this power: small sources are repeated, no row is left out.
 SMOOTHING = 0.85
 
-ROWS_PER_TASK = 2048
+#: Rows of a block that is numbered together: small, so that several blocks of a hot source that meet in a task weigh little.
+ROWS_PER_TASK = 512
 
 #: Times that a row is repeated at once, and sources that a mix may have.
 TURNS_AT_ONCE, SOURCES = 64, 1 << 20
