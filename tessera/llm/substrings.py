@@ -24,6 +24,9 @@ COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0
 #: Bytes of text that one group of documents, and one group of hashes, stands for, about.
 TEXT_PER_GROUP, TEXT_PER_HASHES = 8 << 20, 12 << 20
 
+#: Partitions of a shuffle at most; beyond them a task has several groups, one after another.
+PARTITIONS = 1 << 16
+
 #: Hashes that a task gathers before it looks for repeats among them and sends them on.
 HELD = 1 << 20
 
@@ -128,7 +131,12 @@ def _by_text_group(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, text_group
     })
 
 
-def _repeated(sent: DataFrame, text_groups: int) -> DataFrame:
+def _by_bucket(frame: DataFrame, groups: int) -> DataFrame:
+    """The frame in as many partitions as there are buckets, so that a task's share doesn't grow with the table."""
+    return frame.repartition(min(groups, PARTITIONS), "bucket") if groups > 1 else frame
+
+
+def _repeated(sent: DataFrame, hash_groups: int, text_groups: int) -> DataFrame:
     """The places whose hash occurs at two places or more, one row for each group of documents and bucket of hashes."""
 
     def decide(rows: pa.Table) -> pa.Table:
@@ -149,7 +157,7 @@ def _repeated(sent: DataFrame, text_groups: int) -> DataFrame:
         at = np.concatenate(again)
         return _by_text_group(key[at], _taken(doc, at), pos[at], text_groups)
 
-    return sent.groupBy("bucket").applyInArrow(decide, _PLACES)
+    return _by_bucket(sent, hash_groups).groupBy("bucket").applyInArrow(decide, _PLACES)
 
 
 def _ranges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,10 +282,11 @@ def without_repeats(frame: DataFrame, id_column: str, text_column: str, window:
         return pa.table({"id": texts["id"], "n_words": whole(words), "n_removed": whole(removed), "kept": pa.array(kept, pa.string())})
 
     kind = rows.schema["id"].dataType.simpleString()
-    by_group = docs.groupBy("bucket")
-    first = _repeated(docs.select("key", "text").mapInArrow(anchors, _SENT), text_groups)
-    second = _repeated(by_group.cogroup(first.groupBy("bucket")).applyInArrow(windows, _SENT), text_groups)
-    done = by_group.cogroup(second.groupBy("bucket")).applyInArrow(cut, f"id {kind}, n_words long, n_removed long, kept string")
+    by_group = _by_bucket(docs, text_groups).groupBy("bucket")
+    grouped = lambda places: _by_bucket(places, text_groups).groupBy("bucket")
+    first = _repeated(docs.select("key", "text").mapInArrow(anchors, _SENT), hash_groups, text_groups)
+    second = _repeated(by_group.cogroup(grouped(first)).applyInArrow(windows, _SENT), hash_groups, text_groups)
+    done = by_group.cogroup(grouped(second)).applyInArrow(cut, f"id {kind}, n_words long, n_removed long, kept string")
     return done.withColumnRenamed("id", id_column)
 
 
