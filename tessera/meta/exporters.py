@@ -9,8 +9,11 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 from tessera.meta.dag import dag, to_json, to_mermaid
 from tessera.plans import Pipeline
+from tessera.sources import files
 
 #: Time in file names.
 STAMP = "%Y-%m-%d-%H-%M-%S"
@@ -46,7 +49,8 @@ class MetadataOptions:
 
 
 def export(pipeline: Pipeline, options: MetadataOptions) -> list[Path]:
-    """Writes ``dag-<name>[-<time>]`` in each format: beside its place first, then moved there."""
+    """Writes ``dag-<name>[-<time>]`` in each format: beside its place first, then moved there. A folder with a scheme
+    (``hdfs://``, ``file:/``) is written through Spark's file systems, any other is one of this machine."""
     graph = dag(pipeline)
     made: dict[str, str] = {}
     if options.json:
@@ -57,6 +61,13 @@ def export(pipeline: Pipeline, options: MetadataOptions) -> list[Path]:
     name = "dag-" + re.sub(r'[<>:"/\\|?*\x00-\x1f]', "_", pipeline.name)
     if options.timestamp:
         name += datetime.datetime.now().strftime(f"-{options.timestamp}")
+    if re.match(r"[a-z][a-z0-9+.-]+:/", options.folder):
+        spark = SparkSession.getActiveSession()
+        if spark is None:
+            raise RuntimeError(f"{options.folder} needs an active session")
+        for ending, text in made.items():
+            files.write_bytes(spark, f"{options.folder.rstrip('/')}/{name}.{ending}", [text.encode()])
+        return [Path(options.folder, f"{name}.{ending}") for ending in made]
     Path(options.folder).mkdir(parents=True, exist_ok=True)
     paths = []
     for ending, text in made.items():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,6 +25,7 @@ def on_workers(spark: SparkSession) -> None:
     if getattr(context, "_tessera_added", False) or not here.is_dir():
         return
     path = Path(tempfile.mkdtemp(prefix="tessera-"), "tessera.zip")
+    atexit.register(shutil.rmtree, path.parent, ignore_errors=True)
     with zipfile.ZipFile(path, "w") as out:
         for f in sorted(here.rglob("*.py")):
             out.write(f, f"tessera/{f.relative_to(here).as_posix()}")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.app import Application, ConfigError, bind, load_config, section
 from tessera.app.config import in_range
+from tessera.meta import MetadataOptions, export
 from tessera.plans import Constant, Execution, FunctionNode, Node, PassThrough, Pipeline, PipelineBuilder, PipelineError, format_result
 from tessera.sources import Catalog, FrameSource, MemoryDataset, MemoryObject, NoData, ParquetDataset, ReadOnlyError
 from tessera.streaming import read_files, run_node
@@ -238,3 +239,9 @@ def test_streams(spark, tmp_path):
         assert spark.read.parquet(f"{tmp_path}/out").count() == expected
     with pytest.raises(ValueError, match="no stream"):
         run_node(FunctionNode(lambda d: numbers(spark)), read_files(spark, Number, f"{tmp_path}/in"), f"{tmp_path}/o2", f"{tmp_path}/c2")
+
+
+def test_graphs_go_through_the_file_systems_of_spark(spark, tmp_path):
+    made = PipelineBuilder("p").add_node(lambda: None, None, NoData.output(), "N").build()
+    export(made, MetadataOptions(f"file:{tmp_path}/graphs"))
+    assert sorted(x.name for x in (tmp_path / "graphs").iterdir()) == ["dag-p.json", "dag-p.md"]
