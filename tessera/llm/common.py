@@ -38,11 +38,11 @@ class Scratch:
         self.root = storage.new_folder(spark, name)
         self.made = 0
 
-    def keep(self, frame: DataFrame) -> DataFrame:
-        """The frame, written once and read back."""
+    def keep(self, frame: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        """The frame, written once and read back; with ``by`` in a folder for each value of some columns."""
         self.made += 1
         path = f"{self.root}/{self.made}"
-        back = storage.stored(frame, path)
+        back = storage.stored(frame, path, by)
         back._kept_at = path  # noqa: SLF001
         return back
 

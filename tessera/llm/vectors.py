@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, bucket, spread, table
+from tessera.llm.common import Scratch, spread, table
 
 #: Vectors that a task searches at once, and numbers of a block of queries that go to all tasks (8 MB).
 CANDIDATES_PER_BLOCK, NUMBERS_PER_QUERY_BLOCK = 8192, 1 << 20
@@ -127,12 +127,17 @@ def search(
 
         return run
 
+    asking = {r["dim"]: ceil(r["n"] * max(1, r["dim"]) / numbers_per_query_block) for r in queries.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if max(asking.values(), default=1) > 1:  # a folder for each block, so that a block is read alone
+        many = F.create_map(*(F.lit(x) for pair in asking.items() for x in pair))[F.col("dim")]
+        queries = scratch.keep(queries.withColumn("block", F.pmod(F.xxhash64("id"), many).cast("int")), ["dim", "block"])
+    else:
+        queries = queries.withColumn("block", F.lit(0))
     parts, kept = [], []
-    for dim, asking in sorted((r["dim"], r["n"]) for r in queries.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()):
-        many = ceil(asking * max(1, dim) / numbers_per_query_block)
+    for dim, many in sorted(asking.items()):
         same = candidates.where(F.col("dim") == dim).select("dim", "id", "vec")
         for block_no in range(many):
-            mine = queries.where((F.col("dim") == dim) & (bucket(["id"], many) == block_no)).toArrow()
+            mine = queries.where((F.col("dim") == dim) & (F.col("block") == block_no)).select("id", "vec").toArrow()
             if not mine.num_rows:
                 continue
             order = np.argsort(mine["id"].to_numpy(), kind="stable")
