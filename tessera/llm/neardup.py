@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,8 @@ from tessera.llm.words import FIRST, SECOND, Family, blocks, mixed
 #: Words of a shingle; links need an intersection of at least PERCENT hundredths of the union (the stages' default is 80).
 SHINGLE, PERCENT = 5, 80
 
-#: Coordinates of a signature, and matches that a pair needs to be looked at. Two sets with a similarity of 0.8 match in
-#: 64 * 0.8 coordinates on average; fewer than 30 matches have a probability under 1e-9 (at 0.85: under 1e-12; fewer than 36: under 1e-8).
-COORDINATES, MATCHES = 64, 30
+#: Coordinates of a signature, and the probability with which a link may be lost because its sets match in too few of them.
+COORDINATES, MISSED = 64, 1e-12
 
 #: Documents of one posting list, and shingles of one group of linked documents, that a task compares at once.
 LIST_ROWS, GROUP_SHINGLES = 2048, 1 << 20
@@ -33,6 +33,18 @@ _SALT, _FACTOR = np.random.default_rng(7).integers(1, 1 << 63, (2, COORDINATES),
 _FACTOR |= np.uint64(1)
 
 
+def matches_for(percent: int, missed: float = MISSED) -> int:
+    """The matches that a pair needs to be looked at: the most that two sets with a similarity of ``percent`` hundredths
+    fall short of with no more than the given probability (30 for 85 hundredths, 26 for 80)."""
+    share, below, needed = percent / 100, 0.0, 0
+    while needed < COORDINATES:
+        below += comb(COORDINATES, needed) * share**needed * (1 - share) ** (COORDINATES - needed)
+        if below > missed:
+            break
+        needed += 1
+    return max(1, needed)
+
+
 def shingle_sets(texts: pa.Array, size: int = SHINGLE, family: Family = FIRST) -> Iterator[np.ndarray]:
     """For each text, the sorted distinct hashes of its runs of ``size`` words, A-Z taken as a-z; of the whole sequence
     where it has fewer words; nothing where it has none."""
@@ -322,14 +334,14 @@ def _linked(
 
 
 def near_duplicates(
-    frame: DataFrame, id_column: str, text_column: str, percent: int = PERCENT, matches: int = MATCHES, by_print: bool = False,
+    frame: DataFrame, id_column: str, text_column: str, percent: int = PERCENT, matches: int | None = None, by_print: bool = False,
 ) -> DataFrame:
     """For each row the id, ``n_shingles``, ``component_id`` (smallest id of its group of near-duplicates) and ``kept``
     (whether the id is that).
 
     Documents are linked if 100 times the intersection of their shingle sets is at least ``percent`` times the union.
     Equal sets are one node, so copies cost one row each. A node's signature is posted under its coordinate-value pairs;
-    pairs of one node alone are left out, a node with fewer than ``matches`` others has no partner. Of the rest, in the
+    pairs of one node alone are left out, a node with fewer than ``matches`` (else ``matches_for``) others has no partner. Of the rest, in the
     order of rising frequency, only the first (others - matches + 1) are merged: two nodes with enough matches meet under
     one of these. The long lists after them are skipped, and their collisions counted on the signatures of nodes that
     met. Nodes that met with enough matches form groups, inside which links are confirmed on the full sets. Lists and
@@ -346,6 +358,7 @@ def near_duplicates(
     """
     spark = frame.sparkSession
     scratch = Scratch(spark, "neardup")
+    matches = matches_for(percent) if matches is None else matches
     rows = frame.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     rows = rows.withColumn("print", F.xxhash64("text"))
     sets = scratch.keep(rows.mapInArrow(_signatures, "id long, print long, n long, high long, low long, sig binary"))
@@ -408,7 +421,7 @@ def near_duplicates(
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents that share at least 85 hundredths of their shingles."""
-    return near_duplicates(spread(table(spark, sf_dir, "documents", "doc_id", "text")), "doc_id", "text", percent=85, matches=36)
+    return near_duplicates(spread(table(spark, sf_dir, "documents", "doc_id", "text")), "doc_id", "text", percent=85)
 
 
 OP6_SQL = r"""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, components
 from tessera.llm.language import DIMENSIONS, learn, letter_bits, op4_language_id, predict, unpacked
-from tessera.llm.neardup import near_duplicates, op6_near_duplicates, set_hash, shingle_sets, signature
+from tessera.llm.neardup import matches_for, near_duplicates, op6_near_duplicates, set_hash, shingle_sets, signature
 from tessera.llm.packing import Encoder, column_generation, op9_packing, pack, price, tokenizer_path, whole_patterns
 from tessera.llm.personal import KINDS, base_spans, candidates, find_personal, luhn, masked, op8_personal_data, score_patterns
 from tessera.llm.substrings import COVERS, cover, op10_substring_dedup, without_repeats
@@ -192,6 +192,10 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates(odd(spark, []), "doc_id", "text").collect() == []
 
 
+def test_few_links_are_lost():
+    assert [matches_for(p) for p in (80, 85, 100, 1)] == [26, 30, 64, 1] and matches_for(85, 1e-8) == 36
+
+
 def test_signature_matches_estimate_the_similarity():
     rng = np.random.default_rng(0)
     total = []
@@ -464,6 +468,16 @@ def test_substring_query(spark):
     assert any(m for _, m, _ in got.values())
 
 
+def test_substring_of_a_very_long_text(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(5000)}" for _ in range(80_000)]
+    words[60_000:60_100] = words[100:200]
+    pairs = [(1, " ".join(words)), (2, " ".join(words[:40])), (3, " ".join(words[50_000:50_034]))]
+    got = without_repeats(odd(spark, pairs), "doc_id", "text").collect()
+    want = [(i, *x) for (i, _), x in zip(pairs, brute_repeats([t for _, t in pairs], 35), strict=True)]
+    assert sorted(tuple(r) for r in got) == sorted(want) and want[0][1] == 240
+
+
 @pytest.mark.parametrize("window", [2, 9, 35])
 def test_substring_of_odd_rows(spark, monkeypatch, window):
     import tessera.llm.substrings as m
