@@ -134,13 +134,13 @@ class Dataset(CatalogEntry):
 
     def misfits(self, texts: DataFrame, limit: int | None) -> ValidationResult | None:
         """Looks for texts that don't convert to their column's type; None if all do."""
-        rows = texts if limit is None else texts.limit(limit)
-        bad = [
-            F.count_if(F.col(f"`{c.name}`").isNotNull() & F.col(f"`{c.name}`").try_cast(c.type).isNull()).alias(c.name)
-            for c in self._schema.columns
-        ]
-        lacking = [F.count_if(F.col(f"`{c.name}`").isNull()).alias(f"null {c.name}") for c in self._schema.columns if not c.nullable]
-        row = rows.agg(F.count(F.lit(1)).alias("all rows"), *bad, *lacking).first().asDict()
+        bad = {c.name: F.col(f"`{c.name}`").isNotNull() & F.col(f"`{c.name}`").try_cast(c.type).isNull() for c in self._schema.columns}
+        bad |= {f"null {c.name}": F.col(f"`{c.name}`").isNull() for c in self._schema.columns if not c.nullable}
+        if limit is None:
+            row = texts.agg(F.count(F.lit(1)).alias("all rows"), *(F.count_if(v).alias(k) for k, v in bad.items())).first().asDict()
+        else:  # a few rows are brought as they are, which needs no shuffle
+            some = texts.limit(limit).select(*(v.alias(k) for k, v in bad.items())).collect()
+            row = {"all rows": len(some)} | {k: sum(bool(r[i]) for r in some) for i, k in enumerate(bad)}
         if not row.pop("all rows"):
             return self.fail(ErrorType.EMPTY_DATASET, "there are no rows")
         wrong = {k: n for k, n in row.items() if n and not k.startswith("null ")}

@@ -27,6 +27,12 @@ def delete(spark: SparkSession, path: str) -> None:
     system.delete(where, True)
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """The bytes of a file."""
+    system, where = _at(spark, path)
+    return system.getFileStatus(where).getLen()
+
+
 def head(spark: SparkSession, path: str, size: int) -> bytes:
     """The first bytes of a file (of a folder: of its first data file)."""
     found = data_files(spark, path)

@@ -15,6 +15,7 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera import storage
 from tessera.schema import Schema, schema_of
@@ -24,6 +25,23 @@ from tessera.sources.base import SAMPLE, SPARK_ERRORS, Dataset, ReadOnlyDataset
 from tessera.validation import ErrorType, ValidationResult
 
 
+#: Where Spark puts a table's schema in a Parquet file's footer.
+_ROW_METADATA = "org.apache.spark.sql.parquet.row.metadata"
+
+
+def _footer(spark: SparkSession, path: str) -> tuple[StructType | None, bool]:
+    """The schema that a Parquet file's footer names, None if another program wrote it, and whether the file has rows. Read
+    by the driver: no job is needed for it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(where)
+    try:
+        named = reader.getFooter().getFileMetaData().getKeyValueMetaData().get(_ROW_METADATA)
+        return StructType.fromJson(json.loads(named)) if named else None, reader.getRecordCount() > 0
+    finally:
+        reader.close()
+
+
 class ParquetDataset(Dataset):
     """A Parquet folder, or with ``one_file`` a single Parquet file. ``partition_by`` parts the folder by columns."""
 
@@ -46,7 +64,9 @@ class ParquetDataset(Dataset):
         if files.head(spark, self.path, 4) != b"PAR1":
             return self.fail(ErrorType.INVALID_FORMAT, "the file does not begin as Parquet does")
         try:
-            there = {f.name: f.dataType.simpleString() for f in spark.read.parquet(self.path).schema}
+            found, filled = _footer(spark, files.data_files(spark, self.path)[0])
+            found = spark.read.parquet(self.path).schema if found is None else found
+            there = {f.name: f.dataType.simpleString() for f in found}
         except SPARK_ERRORS as e:
             return ValidationResult.from_exception(self.key, e, ErrorType.INVALID_FORMAT)
         missing = [c.name for c in self.schema.columns if c.name not in there]
@@ -55,7 +75,7 @@ class ParquetDataset(Dataset):
         wrong = [f"{c.name}: {there[c.name]}, not {c.type.simpleString()}" for c in self.schema.columns if there[c.name] != c.type.simpleString()]
         if wrong:
             return self.fail(ErrorType.TYPE_MISMATCH, "columns have other types", "\n".join(wrong))
-        if not self.load(spark).limit(1).collect():
+        if not filled and not self.load(spark).limit(1).collect():
             return self.fail(ErrorType.EMPTY_DATASET, "there are no rows")
         return ValidationResult.success()
 
@@ -293,6 +313,23 @@ def sheet_rows(content: bytes, sheet: str) -> Iterator[list[str | None]]:
         element.clear()
 
 
+#: Workbooks up to this size are sampled by the driver.
+DRIVER_BYTES = 16 << 20
+
+
+def declared_rows(content: bytes, sheet: str, columns: list[tuple[str, str]]) -> Iterator[list[str | None]]:
+    """The values of the declared columns (name, name in the source) of each row that isn't blank."""
+    rows = sheet_rows(content, sheet)
+    header = [(x or "").strip().lower() for x in next(rows, [])]
+    at = []
+    for name, source in columns:
+        tries = (source.lower(), name.lower(), pascal_case(source).lower())
+        at.append(next((header.index(t) for t in tries if t in header), None))
+    if missing := [c[1] for c, i in zip(columns, at, strict=True) if i is None]:
+        raise KeyError(f"missing columns: {', '.join(missing)}")
+    yield from ([None if i >= len(r) else r[i] for i in at] for r in rows if any(x is not None for x in r))
+
+
 class ExcelDataset(ReadOnlyDataset):
     """A sheet of a workbook (or of all workbooks of a folder), read-only. The first row has the column names, matched in
     any case, and with ``snake_case`` as ``SnakeCase``. Each workbook is one task's work."""
@@ -302,22 +339,14 @@ class ExcelDataset(ReadOnlyDataset):
         self.schema.require_flat("Excel")
         self.sheet = sheet
 
-    def texts(self, spark: SparkSession, first: int | None = None) -> DataFrame:
-        """The declared columns as texts; of the first rows alone if so many are named, which stops reading a workbook there."""
+    def texts(self, spark: SparkSession) -> DataFrame:
+        """The declared columns as texts."""
         sheet, columns = self.sheet, [(c.name, c.source_name) for c in self.schema.columns]
 
         def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for content in batch.column(0):
-                    rows = sheet_rows(content.as_py(), sheet)
-                    header = [(x or "").strip().lower() for x in next(rows, [])]
-                    at = []
-                    for name, source in columns:
-                        tries = (source.lower(), name.lower(), pascal_case(source).lower())
-                        at.append(next((header.index(t) for t in tries if t in header), None))
-                    if missing := [c[1] for c, i in zip(columns, at, strict=True) if i is None]:
-                        raise KeyError(f"missing columns: {', '.join(missing)}")
-                    values = islice(([None if i >= len(r) else r[i] for i in at] for r in rows if any(x is not None for x in r)), first)
+                    values = declared_rows(content.as_py(), sheet, columns)
                     while part := list(islice(values, 4096)):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(x, pa.string()) for x in zip(*part, strict=True)], names=[c[0] for c in columns]
@@ -327,6 +356,15 @@ class ExcelDataset(ReadOnlyDataset):
         raw = spark.read.format("binaryFile").load(self.path).select("content")
         return raw.mapInArrow(parse, ", ".join(f"`{c.name}` string" for c in self.schema.columns))
 
+    def first_texts(self, spark: SparkSession, limit: int) -> DataFrame:
+        """The first rows as texts. Those of a single workbook of moderate size are read by the driver, only so far as they
+        go; of others by a task for each workbook."""
+        if files.data_files(spark, self.path) != [self.path] or files.size(spark, self.path) > DRIVER_BYTES:
+            return self.texts(spark).limit(limit)
+        columns = [(c.name, c.source_name) for c in self.schema.columns]
+        rows = list(islice(declared_rows(files.read_bytes(spark, self.path), self.sheet, columns), limit))
+        return spark.createDataFrame(pa.table({c[0]: pa.array([r[i] for r in rows], pa.string()) for i, c in enumerate(columns)}))
+
     def load(self, spark: SparkSession) -> DataFrame:
         return self.texts(spark).select(*(F.col(f"`{c.name}`").cast(c.type).alias(c.name) for c in self.schema.columns))
 
@@ -336,8 +374,9 @@ class ExcelDataset(ReadOnlyDataset):
         if files.head(spark, self.path, 2) != b"PK":
             return self.fail(ErrorType.INVALID_FORMAT, "not a workbook")
         try:
-            return self.misfits(self.texts(spark, limit), limit) or ValidationResult.success()
-        except SPARK_ERRORS as e:
+            texts = self.texts(spark) if limit is None else self.first_texts(spark, limit)
+            return self.misfits(texts, limit) or ValidationResult.success()
+        except (*SPARK_ERRORS, KeyError, ValueError) as e:
             for mark, kind in (("there is no sheet", ErrorType.NOT_FOUND), ("missing columns", ErrorType.SCHEMA_MISMATCH), ("not a workbook", ErrorType.INVALID_FORMAT)):
                 if found := re.search(f"{mark}[^'\"\n]*", str(e)):
                     return self.fail(kind, found[0])
