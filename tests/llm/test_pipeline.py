@@ -79,6 +79,14 @@ def test_language_rejects_unknown_scripts_and_junk(spark):
     assert {(r["doc_id"], r["source"], r["lang"]) for r in got if r["doc_id"] < 0} == {(-100, "short", "und"), (-101, "short", "en")}
 
 
+def test_language_keeps_short_documents_whose_label_agrees(spark):
+    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet").where("doc_id in (39133, 41458, 20021, 7339)").select(*COLUMNS)
+    known = spark.read.parquet(f"{SF}/documents.parquet").select(*COLUMNS)
+    if docs.count() == 4:  # short, repetitive, full of numbers
+        got = corpus_pipeline.language_id(spark, known.unionByName(docs.withColumn("doc_id", -F.col("doc_id"))), SF)
+        assert got.where("doc_id < 0").count() == 4
+
+
 def test_mixing_stage_keeps_own_columns(spark):
     rows = [(i, f"text {i}", "en", "ab"[i % 2], 1, -i, f"p{i}") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, slot int, Position string")
