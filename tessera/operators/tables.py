@@ -73,9 +73,18 @@ def keys_in_left_only(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def first_by(frame: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """The first row of each key in a total order."""
-    ranked = frame.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where("__rank = 1").drop("__rank")
+    """The first row of each key in a total order.
+
+    Where the order is by names of columns (smallest first, nulls before all), each task keeps one row for each key before
+    anything is shuffled, so a key with very many rows is no burden. Any other order ranks a key's rows in one task.
+    """
+    if not all(isinstance(o, str) for o in order) or {c.lower() for c in keys} >= {c.lower() for c in frame.columns}:
+        ranked = frame.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return ranked.where("__rank = 1").drop("__rank")
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(frame.columns)))
+    by = F.struct(*(F.col(o).alias(f"o{i}") for i, o in enumerate(order)))
+    first = frame.groupBy(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys))).agg(F.min_by(row, by).alias("row"))
+    return first.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(frame.columns)))
 
 
 def take(frame: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:

@@ -167,3 +167,13 @@ def test_small_operators(spark):
     assert {tuple(r) for r in joined.collect()} == {(1, 1), (2, 0), (None, None)}
     assert [r["chunk"] for r in tables.chunked(spark.range(5).withColumn("g", F.lit(1)), 2, "g", ["id"]).orderBy("id").collect()] == [0, 0, 1, 1, 2]
     assert tables.union_distinct(spark.range(3), spark.range(2), spark.range(4)).count() == 4 and tables.concatenated(spark.range(3), spark.range(2)).count() == 5
+
+
+def test_first_rows_of_a_key(spark):
+    rows = spark.createDataFrame([(1, None, 5, "a"), (1, 2, 1, "b"), (None, 3, 1, "c"), (None, 3, 0, "d"), (2, 1, 1, "e")], "k int, t int, n int, v string")
+    by_names = tables.first_by(rows, ["k"], ["t", "n"])
+    by_columns = tables.first_by(rows, ["k"], [F.col("t").asc(), F.col("n")])
+    assert by_names.columns == rows.columns and sorted(r["v"] for r in by_names.collect()) == sorted(r["v"] for r in by_columns.collect()) == ["a", "d", "e"]
+    assert "Window" not in by_names._jdf.queryExecution().optimizedPlan().toString()
+    assert tables.first_by(rows, ["k"], [F.col("t").desc(), "n"]).where("k = 1").first()["v"] == "b"
+    assert tables.first_by(rows.select("k"), ["k"], ["k"]).count() == 3 and tables.first_by(rows.limit(0), ["k"], ["t"]).collect() == []
