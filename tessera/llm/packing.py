@@ -54,6 +54,9 @@ _UNUSUAL_ASCII = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
+#: Characters that are encoded at once, about; a longer text is cut at white space.
+ENCODED_AT_ONCE, _GAP = 1 << 18, re.compile(r"\s")
+
 #: How a tokenizer describes the normal form and the splitting that the above does, and how the special tokens
 #: begin that ``_UNUSUAL`` finds.
 _NORMAL_FORM = r'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])'
@@ -106,7 +109,17 @@ class Encoder:
         unusual = any(x in text for x in _UNUSUAL_ASCII) if text.isascii() else _UNUSUAL.search(text)
         if unusual or not self.by_pieces:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, _PIECE.findall(text.lower())))
+        lowered = text.lower()
+        if len(lowered) <= ENCODED_AT_ONCE:
+            return self._encoded(lowered)
+        cuts, at = [0], ENCODED_AT_ONCE
+        while gap := _GAP.search(lowered, at):  # no piece goes over white space
+            cuts.append(gap.start())
+            at = gap.start() + ENCODED_AT_ONCE
+        return b"".join(self._encoded(lowered[a:b]) for a, b in zip(cuts, [*cuts[1:], len(lowered)], strict=True))
+
+    def _encoded(self, lowered: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, _PIECE.findall(lowered)))
 
 
 def _pieces(path: str, capacity: int):  # noqa: ANN202

@@ -122,6 +122,20 @@ def test_language_against_plain_python(spark):
     assert {r["lang_pred"] for r in predict(frame.where("doc_id >= 8"), "text", profiles).collect()} == {"xa"}  # a tie
 
 
+def test_grams_of_pieces(monkeypatch):
+    import tessera.llm.language as m
+
+    rng = random.Random(6)
+    texts = ["", " ", "a", "ab", "1", "a1b", "".join(rng.choice("abc é12,漢 ") for _ in range(400)), "  x" * 50]
+    want = [m.grams(t) for t in texts]
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(m, "PIECE", size)
+        for t, (codes, counts) in zip(texts, want, strict=True):
+            got = m.grams(t)
+            assert got[0].tolist() == codes.tolist() and got[1].tolist() == counts.tolist(), (size, t)
+    assert sum(want[5][1]) == 3 and len(want[1][0]) == 0  # of the symbols gap, a, gap, b, gap
+
+
 def test_more_languages_than_can_be_held(spark, monkeypatch):
     import tessera.llm.language as m
 
@@ -365,6 +379,18 @@ def test_encoder_of_another_tokenizer():
         assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_of_long_texts(monkeypatch):
+    import tessera.llm.packing as m
+
+    rng = random.Random(4)
+    e = Encoder(tokenizer_path())
+    texts = ["".join(rng.choice("ab1's \n.é") for _ in range(500)), "x" * 300, " " * 300, "a b"]
+    for size in (1, 5, 40):
+        monkeypatch.setattr(m, "ENCODED_AT_ONCE", size)
+        for t in texts:
+            assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_encoder_forgets(monkeypatch):
     import tessera.llm.packing as m
 
