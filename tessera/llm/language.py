@@ -27,6 +27,9 @@ READY_LETTERS = 0x250
 #: Bits of a code point in an n-gram's number.
 POINT_BITS = 21
 
+#: Characters of a text that are read at once.
+PIECE = 1 << 18
+
 #: Distinct n-grams that are bound at once: 256 KB of bits, 1 MB as they are added up.
 BOUND_AT_ONCE = 256
 
@@ -68,19 +71,34 @@ def _ready() -> tuple[np.ndarray, ...]:
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of letters of a text (lower case, anything between letters is one gap) and their counts; none
-    if it has no letter."""
-    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters = np.where(_is_letter()[points], points, 0)
-    if not letters.any():
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    stay = letters != 0
-    stay[1:] |= letters[:-1] != 0
-    padded = np.concatenate([[0], letters[stay], [0]] if letters[-1] else [[0], letters[stay]]).astype(np.int64)
-    padded = padded[1:] if padded[1] == 0 else padded
-    code = np.zeros(max(0, len(padded) - GRAM + 1), np.int64)
-    for i in range(GRAM):
-        code = code << POINT_BITS | padded[i : i + len(code)]
-    return np.unique(code, return_counts=True)
+    if it has no letter. A long text is read a piece at a time, with what n-grams of the next piece begin with."""
+    lowered = (text or "").lower()
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    before, after_letter = np.zeros(1, np.int64), False
+
+    def add(symbols: np.ndarray) -> np.ndarray:
+        code = np.zeros(max(0, len(symbols) - GRAM + 1), np.int64)
+        for i in range(GRAM):
+            code = code << POINT_BITS | symbols[i : i + len(code)]
+        if len(code):
+            found.append(np.unique(code, return_counts=True))
+        return symbols[1 - GRAM :]
+
+    for start in range(0, len(lowered), PIECE):
+        points = np.frombuffer(lowered[start : start + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = np.where(_is_letter()[points], points, 0).astype(np.int64)
+        stay = letters != 0
+        stay[1:] |= letters[:-1] != 0
+        stay[0] |= after_letter
+        before = add(np.concatenate([before, letters[stay]]))
+        after_letter = bool(letters[-1])
+    if after_letter:
+        add(np.append(before, 0))
+    if len(found) <= 1:
+        return found[0] if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+    codes, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+    distinct, place = np.unique(codes, return_inverse=True)
+    return distinct, np.bincount(place, weights=counts).astype(np.int64)
 
 
 def bundle(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
