@@ -20,7 +20,7 @@ SHINGLE, PERCENT = 5, 80
 COORDINATES, MISSED = 64, 1e-12
 
 #: Documents of one posting list, and shingles of one group of linked documents, that a task compares at once.
-LIST_ROWS, GROUP_SHINGLES = 2048, 1 << 20
+LIST_ROWS, GROUP_SHINGLES = 1024, 1 << 18
 
 #: Lists up to this length are compared together with others.
 SHORT_LIST = 16
