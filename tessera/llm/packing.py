@@ -35,8 +35,8 @@ TOLERANCE, PRICINGS = 1e-5, 400
 PATTERNS = 24
 
 #: How much more than in proportion to its size a piece is worth while the first patterns are priced: large pieces, which
-#: little else fits beside, go first.
-LARGE_FIRST = 0.01
+#: little else fits beside, go first. The second is tried where the first leaves room below it.
+LARGE_FIRST = (0.01, 1.0)
 
 ROWS_PER_TASK = 2048
 
@@ -203,7 +203,9 @@ def first_fit(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tupl
     return out
 
 
-def start_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[np.ndarray], list[float], list[int]]:
+def start_patterns(
+    sizes: np.ndarray, demand: np.ndarray, capacity: int, large_first: float
+) -> tuple[list[np.ndarray], list[float], list[int]]:
     """Patterns priced by the knapsack for the demand that is left, how often each is used (in fractions), and the size
     that it uses up.
 
@@ -216,7 +218,7 @@ def start_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
     while (left > 0).any():
         at = np.flatnonzero(left > 0)
         share = sizes[at] / capacity
-        _, priced = price(share * (1 + LARGE_FIRST * share), sizes[at], capacity, 1)
+        _, priced = price(share * (1 + large_first * share), sizes[at], capacity, 1)
         pattern = np.zeros(len(sizes), np.int64)
         pattern[at] = priced[0]
         held = np.flatnonzero(pattern)
@@ -234,6 +236,24 @@ def start_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
     return patterns, use, met
 
 
+def _inverse(patterns: list[np.ndarray], met: list[int]) -> np.ndarray:
+    """The inverse of the matrix with these columns, which is lower triangular once its rows are in the order of ``met``.
+
+    Products are by einsum: BLAS with threads never returns in a process that was forked, as a driver is when it has
+    started its JVM.
+    """
+    many = len(met)
+    lower = np.array(patterns, float).T[met] if many else np.zeros((0, 0))
+    solved = np.zeros((many, many))
+    for r in range(many):
+        solved[r] = -np.einsum("j,jk->k", lower[r, :r], solved[:r])
+        solved[r, r] += 1.0
+        solved[r] /= lower[r, r]
+    inverse = np.empty((many, many))
+    inverse[:, met] = solved
+    return inverse
+
+
 @dataclass
 class Program:
     """Patterns and how often each is used; the number of pricings, and a bound that no packing is below."""
@@ -253,18 +273,23 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, tole
     leave still favour them.
     """
     many = len(sizes)
-    patterns, first, met = start_patterns(sizes, demand, capacity)
-    pricings = sum(x > 0 for x in first)
-    order = np.argsort(met)
-    patterns = [patterns[k] for k in order]
-    use = np.array([first[k] for k in order])
-    inverse = np.linalg.inv(np.array(patterns, float).T) if many else np.zeros((0, 0))
+    center = sizes / capacity  # feasible prices, whose total is a bound: no pattern is worth more than one sequence
+    bound = float(center @ demand)
+    starts = []
+    for large_first in LARGE_FIRST:
+        starts.append(start_patterns(sizes, demand, capacity, large_first))
+        if sum(starts[-1][1]) <= bound + max(0.5, bound * tolerance):
+            break
+    pricings = sum(x > 0 for s in starts for x in s[1])
+    patterns, first, met = min(starts, key=lambda s: sum(s[1]))
+    use = np.array(first)
+    inverse = _inverse(patterns, met)
 
     def enter(offered: list[np.ndarray]) -> None:
         for pattern in offered:
             if inverse.sum(axis=0) @ pattern <= 1 + 1e-9:
                 continue
-            step = inverse @ pattern
+            step = np.einsum("ij,j->i", inverse, pattern.astype(float))
             ratio = np.full(many, np.inf)
             grows = step > 1e-11
             ratio[grows] = use[grows] / step[grows]
@@ -277,8 +302,6 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, tole
             inverse[out] = row
             patterns[out] = pattern
 
-    center = sizes / capacity  # feasible prices, whose total is a bound: no pattern is worth more than one sequence
-    bound = float(center @ demand)
     for _ in range(PRICINGS):
         now = inverse.sum(axis=0)
         if use.sum() <= bound + max(0.5, bound * tolerance):

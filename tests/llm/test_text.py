@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch, components
 from tessera.llm.language import DIMENSIONS, learn, letter_bits, op4_language_id, predict, unpacked
 from tessera.llm.neardup import matches_for, near_duplicates, op6_near_duplicates, set_hash, shingle_sets, signature
-from tessera.llm.packing import Encoder, column_generation, op9_packing, pack, price, tokenizer_path, whole_patterns
+from tessera.llm.packing import Encoder, column_generation, first_fit, op9_packing, pack, price, tokenizer_path, whole_patterns
 from tessera.llm.personal import KINDS, base_spans, candidates, find_personal, luhn, masked, op8_personal_data, score_patterns
 from tessera.llm.substrings import COVERS, cover, op10_substring_dedup, without_repeats
 from tessera.llm.words import FIRST, SECOND, blocks
@@ -453,6 +453,16 @@ def test_patterns_hold_the_demand(seed):
     assert sum(n for _, n in whole) <= total * 1.02 + len(sizes)
 
 
+def test_program_of_all_sizes_in_a_forked_process():
+    """As many sizes as there can be: the driver has started a JVM, so BLAS with threads would hang."""
+    rng = np.random.default_rng(1)
+    sizes, demand = np.arange(1, 513), rng.integers(1, 60, 512)
+    program = column_generation(sizes, demand, 512)
+    total = sum(x for _, x in program.patterns)
+    assert np.allclose(sum(p * x for p, x in program.patterns), demand) and program.bound <= total + 1e-6
+    assert total <= sum(n for _, n in first_fit(sizes, demand, 512)) + 1e-6
+
+
 def test_patterns_where_first_fit_wastes():
     """Sizes of which no first pattern is full: the duals' prices have to find the mixture."""
     sizes, demand = np.array([18, 34, 35, 45, 51]), np.array([500, 310, 640, 280, 410])
