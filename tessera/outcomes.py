@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import base64
 import datetime
+import io
 import json
 import os
 import re
 import tempfile
 from collections.abc import Callable, Sequence
+from contextlib import redirect_stderr, redirect_stdout
 from dataclasses import dataclass
 from decimal import Decimal
 from pathlib import Path
@@ -46,11 +48,13 @@ def values(columns: str, *rows: Sequence[object]) -> str:
 
 
 def outcomes(spark: SparkSession, cases: dict[str, Callable[[], object]]) -> DataFrame:
-    """One row for each case: its name, and what it gives as text, or the name of the error that it raises."""
+    """One row for each case: its name, and what it gives as text, or the name of the error that it raises. Reports that it
+    prints are dropped."""
     rows = []
     for name, run in cases.items():
         try:
-            found = run()
+            with redirect_stdout(io.StringIO()), redirect_stderr(io.StringIO()):
+                found = run()
         except Exception as e:  # noqa: BLE001  the error is the outcome
             found = type(e).__name__
         rows.append((name, str(found)))
@@ -536,8 +540,9 @@ UNION ALL SELECT 'Many.Count', true, CAST((SELECT count(*) FROM t WHERE n >= 12)
 def application_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two pipelines of an application, run together."""
     app = Application.create(lambda b: b.use_catalog(Catalog(sf_dir)).register("Few", counting, CountParams(1)).register("Many", counting, CountParams(12)))
-    app.formatter = lambda result: f"{len(result.nodes)} nodes"
-    return app.run_pipeline(spark).to_frame(spark).select("node", "success", "rows_out")
+    with redirect_stdout(io.StringIO()):
+        result = app.run_pipeline(spark)
+    return result.to_frame(spark).select("node", "success", "rows_out")
 
 
 @query(values(
