@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ BROADCAST_BYTES = 8 << 20
 #: Blocks of a numbering whose starts one task adds up.
 BLOCKS_AT_ONCE = 1 << 16
 
+#: Links that a task reduces to a forest at once.
+FOREST_LINKS = 1 << 18
+
 #: Fewer rows are not worth a shuffle to have more tasks.
 ROWS_WORTH_DEALING = 512
 
@@ -115,24 +120,71 @@ def gapless(
     )
 
 
+def roots_of(count: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The smallest member of each member's component."""
+    root = np.arange(count)
+    if not pairs:
+        return root
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    while True:
+        least = root.copy()
+        np.minimum.at(least, a, root[b])
+        np.minimum.at(least, b, root[a])
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
+def stars_of(nodes: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each member that isn't its component's root, with the root."""
+    at = np.flatnonzero(root != np.arange(len(root)))
+    return nodes[at], nodes[root[at]]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each lot of links (u, v) a star for each of its components: as many links as join the same nodes, no more."""
+
+    def reduced(lot: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = np.concatenate([b.column(k).to_numpy() for k in range(2) for b in lot])
+        nodes, place = np.unique(ends, return_inverse=True)
+        u, v = stars_of(nodes, roots_of(len(nodes), [tuple(np.split(place, 2))]))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    lot, held = [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, FOREST_LINKS):
+            part = batch.slice(start, FOREST_LINKS)
+            if held + part.num_rows > FOREST_LINKS:
+                yield reduced(lot)
+                lot, held = [], 0
+            lot.append(part)
+            held += part.num_rows
+    if lot:
+        yield reduced(lot)
+
+
 def components(scratch: Scratch, links: DataFrame, left: str, right: str) -> DataFrame:
     """Connected components of links: one row (node, component) per linked node, component the smallest node.
 
     Alternates large-star and small-star rounds (each joins a node's larger, then its smaller neighbours to the smallest
     of them) until no link changes. Each round is written to the shared folder; nothing but two sums goes to the driver.
     So are the smallest neighbours: a node with very many neighbours then meets its own in a plain join of two tables,
-    which Spark splits where it is skewed.
+    which Spark splits where it is skewed. And so is what the large-star step makes, which is read twice.
+
+    Links that say again what others say, as of a large group whose members met in many places, go before the first
+    round: a node's links come together, and each task leaves a forest of its own. Any dealing of the links would do, so
+    a node with very many is split.
     """
-    edges = scratch.keep(
-        links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct()
-    )
+    edges = links.select(F.greatest(left, right).cast("long").alias("u"), F.least(left, right).cast("long").alias("v")).where("u <> v")
+    edges = scratch.keep(edges.hint("rebalance", F.col("u")).mapInArrow(_forest, "u long, v long"))
     total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     mark = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = scratch.keep(large.where("u <> v").distinct())
         smaller = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smaller, "u").select(F.explode(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
@@ -141,6 +193,7 @@ def components(scratch: Scratch, links: DataFrame, left: str, right: str) -> Dat
         after = scratch.keep(small)
         scratch.drop(edges)
         scratch.drop(least)
+        scratch.drop(large)
         edges = after
         now = tuple(edges.agg(F.count(F.lit(1)), total).first())
         if now == mark or now[0] == 0:

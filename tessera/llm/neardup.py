@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, components, spread, table
+from tessera.llm.common import Scratch, components, roots_of, spread, stars_of, table
 from tessera.llm.words import FIRST, SECOND, Family, blocks, mixed
 
 #: Words of a shingle; links need an intersection of at least PERCENT hundredths of the union (the stages' default is 80).
@@ -122,28 +122,6 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield open_key, pa.Table.from_batches(parts)
 
 
-def _roots(count: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest member of each member's component."""
-    root = np.arange(count)
-    if not pairs:
-        return root
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    while True:
-        least = root.copy()
-        np.minimum.at(least, a, root[b])
-        np.minimum.at(least, b, root[a])
-        least = least[least]
-        if (least == root).all():
-            return root
-        root = least
-
-
-def _stars(nodes: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each member that isn't its component's root, with the root."""
-    at = np.flatnonzero(root != np.arange(len(root)))
-    return nodes[at], nodes[root[at]]
-
-
 def _link_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -187,7 +165,7 @@ def _lists(matches: int):  # noqa: ANN202
             first, second = own[block[own] == i[own]], own[block[own] == j[own]]
             x, y = _alike(marks[first], marks[second], matches)
             pairs.append((place[first[x]], place[second[y]]))
-        return _link_batch(*_stars(nodes, _roots(len(nodes), pairs)))
+        return _link_batch(*stars_of(nodes, roots_of(len(nodes), pairs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -268,10 +246,10 @@ def _verified(percent: int):  # noqa: ANN202
             for a, b, common in _overlaps(sets, np.flatnonzero(block == i), np.flatnonzero(block == j)):
                 union = sizes[a][:, None] + sizes[b][None, :] - common
                 x, y = np.nonzero((100 * common >= percent * union) & (a[:, None] != b[None, :]))
-                root = _roots(len(nodes), [(a[x], b[y])])
+                root = roots_of(len(nodes), [(a[x], b[y])])
                 own_links = np.flatnonzero(root != np.arange(len(root)))
                 pairs.append((own_links, root[own_links]))
-            yield _link_batch(*_stars(nodes, _roots(len(nodes), pairs)))
+            yield _link_batch(*stars_of(nodes, roots_of(len(nodes), pairs)))
 
     return run
 
@@ -287,7 +265,8 @@ def _linked(
     scratch: Scratch, rows: DataFrame, key: str, bound: int, payload: list[str],
     compare: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Links (a, b) that join all nodes of a key which ``compare`` finds linked, directly or by way of others; not all links.
+    """Components (node, component) of the links that ``compare`` finds between nodes of one key; nodes without a link are
+    left out.
 
     ``rows`` has the key, ``node``, its ``weight``, the ``total`` weight of the key, and the payload. A key is cut into
     blocks of about ``bound`` by a hash of the node. Blocks are compared within first, which is all for most keys. A key of a
@@ -295,6 +274,7 @@ def _linked(
     which costs no more than its rows: nodes that are alike soon form one component, and pairs inside a component need not
     be compared any more. What isn't in the key's largest component in the end is compared with everything, so no link
     between components is missed. The cost is the square of a key's size only as far as its nodes are *not* joined.
+    What is joined goes on as one link for each node, to which the links of later rounds are added.
     ``sizes`` has the totals too, where ``rows`` is costly to make.
     """
     many = F.ceil(F.col("total") / bound)
@@ -302,14 +282,15 @@ def _linked(
     kept = [key, "node", "weight", "total", *(c for c in payload if c != "node")]
     pairs = lambda dealt: scratch.keep(dealt.mapInArrow(compare, "a long, b long").distinct())
     within = lambda part, turn: pairs(_dealt(part.select("*", place(turn)), key, F.col("block"), F.col("block"), payload))
-    links = within(rows.where("total > weight"), 0)
+    more = lambda joined, links: components(scratch, joined.toDF("a", "b").union(links), "a", "b")
+    joined = components(scratch, within(rows.where("total > weight"), 0), "a", "b")
     if (rows if sizes is None else sizes).where(F.col("total") > bound).isEmpty():
-        return links
+        return joined
     large = scratch.keep(rows.where(F.col("total") > bound).select(*kept))
     left, turn = None, 0
     while True:
-        joined = components(scratch, links, "a", "b").withColumnRenamed("component", "__root")
-        named = scratch.keep(large.join(joined, "node", "left").select(*kept, F.coalesce("__root", "node").alias("label")))
+        root = joined.withColumnRenamed("component", "__root")
+        named = scratch.keep(large.join(root, "node", "left").select(*kept, F.coalesce("__root", "node").alias("label")))
         parts = named.groupBy(key, "label").agg(F.sum("weight").alias("w"), F.first("total").alias("total"))
         main = parts.groupBy(key).agg(
             F.max_by("label", F.struct("w", "label")).alias("main"), F.max("w").alias("most"), F.count(F.lit(1)).alias("labels"), F.first("total").alias("all"),
@@ -320,7 +301,7 @@ def _linked(
         if rest == 0 or turn >= ROUNDS or (left is not None and rest > GOES_ON * left):
             break
         turn, left = turn + 1, rest
-        links = scratch.keep(links.union(within(open_.where(~F.col("direct")).select(*kept), turn)))
+        joined = more(joined, within(open_.where(~F.col("direct")).select(*kept), turn))
         scratch.drop(named)
         scratch.drop(main)
     # blocks of the rest come first, those of the largest component after them
@@ -330,7 +311,8 @@ def _linked(
     block = F.when(of_main, rests + F.pmod(hashed, mains)).otherwise(F.pmod(hashed, rests))
     others = F.sequence(F.lit(0).cast("long"), F.when(of_main, rests).otherwise(rests + mains) - 1)
     crossed = open_.select("*", block.alias("block"), F.explode(others).alias("other"))
-    return links.union(pairs(_dealt(crossed, key, F.least("block", "other"), F.greatest("block", "other"), payload)))
+    last = pairs(_dealt(crossed, key, F.least("block", "other"), F.greatest("block", "other"), payload))
+    return joined if last.isEmpty() else more(joined, last)
 
 
 def near_duplicates(
@@ -382,8 +364,7 @@ def near_duplicates(
     length = lists.groupBy("post").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     merged = lists.join(length, "post").join(nodes.select("node", "sig"), "node")
     merged = merged.withColumns({"weight": F.lit(1).cast("long"), "total": F.col("m")})
-    met = _linked(scratch, merged, "post", LIST_ROWS, ["node", "sig"], _lists(matches))
-    groups = scratch.keep(components(scratch, met, "a", "b"))
+    groups = scratch.keep(_linked(scratch, merged, "post", LIST_ROWS, ["node", "sig"], _lists(matches)))
     scratch.drop(shared)
     scratch.drop(lists)
 
@@ -392,8 +373,7 @@ def near_duplicates(
     members = members.join(size, "component")
     members = scratch.keep(members.select("component", "node", "least", F.col("print").alias("its_print"), "low", F.col("n").alias("weight"), "total"))
     texts = rows.join(scratch.small(members), F.col("id").eqNullSafe(F.col("least")) & (F.col("print") == F.col("its_print")))
-    links = _linked(scratch, texts, "component", GROUP_SHINGLES, ["node", "low", "text"], _verified(percent), members)
-    joined = components(scratch, links, "a", "b")
+    joined = _linked(scratch, texts, "component", GROUP_SHINGLES, ["node", "low", "text"], _verified(percent), members)
 
     roots = nodes.join(joined, "node", "left").select(
         "high", "low", "least", "print", F.coalesce("component", "node").alias("root")

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import common
 from tessera.llm.common import Scratch, components
 from tessera.llm.language import DIMENSIONS, learn, letter_bits, op4_language_id, predict, unpacked
 from tessera.llm.neardup import matches_for, near_duplicates, op6_near_duplicates, set_hash, shingle_sets, signature
@@ -241,6 +242,48 @@ def test_components(spark):
     assert components(Scratch(spark, "test"), spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
 
 
+def rows_joined(spark, work):
+    """Rows that the joins of some work made, each join as often as it ran."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before, total = store.executionsCount(), 0
+    work()
+    bus.waitUntilEmpty()
+    runs = store.executionsList(before, 1000)
+    for i in range(runs.size()):
+        run = runs.apply(i).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for metric in (node.metrics().apply(k) for k in range(node.metrics().size())) if "Join" in node.name() else ():
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    total += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_components_of_a_group_that_met_in_many_places(spark):
+    """Links that say again what others say don't go through the rounds, and the rounds cost the nodes of a group."""
+    made = {}
+    for size in (300, 600):
+        links = [(100 + i, j) for i in range(size) for j in range(30)]
+        frame = spark.createDataFrame(links, "a long, b long").repartition(8)
+        found = []
+        made[size] = rows_joined(spark, lambda frame=frame, found=found: found.extend(components(Scratch(spark, "test"), frame, "a", "b").collect()))
+        assert {r["node"]: r["component"] for r in found} == {x: 0 for p in links for x in p}
+        assert 0 < made[size] < 30 * size
+    assert made[600] < 2.5 * made[300]
+
+
+def test_components_of_more_links_than_a_task_takes_at_once(spark):
+    chain = spark.range(1 << 11).selectExpr("id AS a", "id + 1 AS b")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(common, "FOREST_LINKS", 100)
+        lots = [pa.record_batch({"u": pa.array(range(1, 951)), "v": pa.array(range(950))}), pa.record_batch({"u": [7, 8], "v": [3, 3]})]
+        forest = [(u, v) for b in common._forest(iter(lots)) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)]
+    assert len(forest) == 952 and all(u > v for u, v in forest)
+    assert {v for _, v in forest} == {*range(0, 900, 100), 900, 3}
+    assert {r["component"] for r in components(Scratch(spark, "test"), chain, "a", "b").collect()} == {0}
+
+
 # --- personal data ----------------------------------------------------------------------------------------------------
 
 PLAIN = {
